@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wavelake.llm.common import small_batches, store
 
@@ -87,7 +88,7 @@ def pack(cut: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     The number of groups follows the number of pieces; a group is one task's.
     """
     n = max(1, -(-cut.count() // group))
-    schema = cut.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*cut.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     keys = [F.col(c) for c in ("doc_id", "piece", "ids_crc32") if c in cut.columns]
 
     def run(batches):

@@ -20,12 +20,13 @@ texts are whole, empty tables give no rows, further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wavelake.llm.common import held_out, small_batches
 from wavelake.llm.trees import sigmoid
@@ -43,6 +44,11 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def family(own: set[str]) -> int:
+    """Near copies mostly share their longer words' smallest hash; a word counts once for each family of texts, so that copies don't vote."""
+    return min((zlib.crc32(w.encode("utf-8", "replace")) for w in own if len(w) > 5), default=0)
+
+
 def margins(toxic: bytes, ordinary: bytes):
     """A function from windows to their margins."""
     import zstandard as z
@@ -100,12 +106,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    seen = (Counter(), Counter())
+    seen: tuple[dict, dict] = ({}, {})
+    families: tuple[set, set] = (set(), set())
     for text, k in rows:
-        seen[k].update(set(words(text)))
-    odds = {w: (t + 0.5) / (n1 + 1) / ((seen[0][w] + 0.5) / (n0 + 1)) for w, t in seen[1].items() if t >= max(2, round(0.004 * n1))}
-    over = sorted((w for w, v in odds.items() if v >= ODDS), key=lambda w: (-seen[1][w] * math.log(odds[w]), w))
+        own = set(words(text))
+        one = family(own)
+        families[k].add(one)
+        for w in own:
+            seen[k].setdefault(w, set()).add(one)
+    n0, n1 = map(len, families)
+    odds = {w: (len(f) + 0.5) / (n1 + 1) / ((len(seen[0].get(w, ())) + 0.5) / (n0 + 1)) for w, f in seen[1].items() if len(f) >= max(3, round(0.004 * n1))}
+    over = sorted((w for w, v in odds.items() if v >= ODDS), key=lambda w: (-len(seen[1][w]) * math.log(odds[w]), w))
     text, size, ordinary = set(), 0, []
     for t, k in rows:
         if k == 0 and size < ORDINARY_BYTES:
@@ -155,7 +166,7 @@ def score(docs: DataFrame, model: dict | None, extra: tuple[str, ...] = ()) -> D
             z = x / scale @ weights[:-1] + weights[-1] if len(lists) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(z), pa.float64())], names=[*b.schema.names, "score"])
 
-    return d.mapInArrow(run, d.schema.add("score", "double"))
+    return d.mapInArrow(run, StructType([*d.schema, StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = LIMIT) -> DataFrame:
