@@ -1,22 +1,201 @@
-"""Every registered query of the trace engine with its SQL twin."""
+"""Every registered query of the trace engine with its SQL twin for another engine.
+
+The driver's tables stand in for traces: `events` are value changes of one signal per user, `orders` and `lineitem`
+transactions, `region`..`supplier` a hierarchy, `conversations` calls. A query is Spark SQL or a plan built from the
+operators; where one text serves both engines it is given once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wavelake.functions.expr import Const, Expr, Input, compile_expr
+from wavelake.operators import signals
 from wavelake.session import table
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
+W = "partition by user_id order by ts, event_id"
+
+#: name: (SQL for Spark, SQL for the other engine or None if the same text serves)
+SQL: dict[str, tuple[str, str | None]] = {}
+
+
+def both(name: str, text: str, other: str | None = None) -> None:
+    SQL[name] = (text, other)
+
+
+# --- scans, ranges and blocks
+both("vc_scan_range", "select count(*) n, min(event_id) first_id from events where ts >= timestamp '2024-01-05 00:00:00' and ts <= timestamp '2024-01-10 00:00:00'")
+both("vc_flush_blocks", "select block, count(*) n, min(event_id) first_id, max(event_id) last_id from (select event_id, cast(floor((row_number() over (order by ts, event_id) - 1) / 1000) as bigint) block from events) x group by block")
+both("vc_block_index", "select date_trunc('hour', ts) block, min(ts) start_ts, max(ts) end_ts, count(*) n, count(distinct user_id) n_vars from events group by date_trunc('hour', ts)")
+both("vc_seek_block", "select min(block) block from (select date_trunc('hour', ts) block, min(ts) s from events group by date_trunc('hour', ts)) b where s >= timestamp '2024-01-03 00:30:00'")
+# --- change-only, forward fill, settle, snapshot, pause
+both("vc_change_only", f"select user_id, event_id, event_type from (select *, lag(event_type) over ({W}) p from events) x where p is null or p <> event_type")
+both(
+    "vc_ffill_two_inputs",
+    f"select event_id, coalesce(last(case when event_type = 'view' then value end, true) over ({W} rows between unbounded preceding and current row), 0.0) a, coalesce(last(case when event_type = 'purchase' then value end, true) over ({W} rows between unbounded preceding and current row), 0.0) b from events",
+    f"select event_id, coalesce(last_value(case when event_type = 'view' then value end ignore nulls) over ({W} rows between unbounded preceding and current row), 0.0) a, coalesce(last_value(case when event_type = 'purchase' then value end ignore nulls) over ({W} rows between unbounded preceding and current row), 0.0) b from events",
+)
+both(
+    "vc_settle",
+    "select user_id, date_trunc('hour', ts) h, max_by(value, event_id) value, count(*) n from events group by user_id, date_trunc('hour', ts)",
+    "select user_id, date_trunc('hour', ts) h, arg_max(value, event_id) \"value\", count(*) n from events group by user_id, date_trunc('hour', ts)",
+)
+both("vc_rle_runs", f"select user_id, event_type, run, count(*) n, min(event_id) first_id from (select *, row_number() over ({W}) - row_number() over (partition by user_id, event_type order by ts, event_id) run from events) x group by user_id, event_type, run")
+both(
+    "vc_xor_delta",
+    f"select event_id, v ^ coalesce(lag(v) over ({W}), 0) d from (select *, cast(floor(value * 100) as bigint) v from events) x",
+    f"select event_id, xor(v, coalesce(lag(v) over ({W}), 0)) d from (select *, cast(floor(value * 100) as bigint) v from events) x",
+)
+both(
+    "vc_xor_decode",
+    f"select event_id, bit_xor(d) over ({W} rows between unbounded preceding and current row) v from (select event_id, user_id, ts, v ^ coalesce(lag(v) over ({W}), 0) d from (select *, cast(floor(value * 100) as bigint) v from events) x) y",
+    "select event_id, cast(floor(value * 100) as bigint) v from events",
+)
+both(
+    "vc_wave_dedup",
+    "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(array_join(transform(array_sort(collect_list(struct(ts, event_id, event_type))), x -> x.event_type), ',')) wave from events group by user_id) x group by wave",
+    "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(string_agg(event_type, ',' order by ts, event_id)) wave from events group by user_id) x group by wave",
+)
+# --- transactions
+both("txn_full", "select o_orderkey txn_id, o_custkey stream_id, o_orderdate start_time, o_orderstatus status from orders")
+both("txn_stream_filter", "select o.o_orderkey txn_id, c.c_name stream_name from orders o join customer c on o.o_custkey = c.c_custkey where c.c_mktsegment = 'BUILDING' and c.c_nationkey < 5")
+both("txn_stream_range", "select o_orderkey txn_id from orders where o_custkey = 7 and o_orderdate between timestamp '1993-01-01' and timestamp '1997-12-31'")
+both("txn_begin_end_pair", f"select b event_id, e end_id from (select event_type t, event_id b, lead(event_type) over ({W}) nt, lead(event_id) over ({W}) e from events where event_type in ('view', 'purchase')) x where t = 'view' and nt = 'purchase'")
+both("txn_open", "select o_orderkey txn_id from orders left anti join lineitem on o_orderkey = l_orderkey", "select o_orderkey txn_id from orders where o_orderkey not in (select l_orderkey from lineitem)")
+both(
+    "txn_attr_last_wins",
+    "select user_id, event_type, max_by(get_json_object(props, '$.k'), struct(ts, event_id)) v from events group by user_id, event_type",
+    "select user_id, event_type, arg_max(json_extract_string(props, '$.k'), event_id) v from events group by user_id, event_type",
+)
+both(
+    "txn_meta_map",
+    "select user_id, event_type k, max_by(value, event_id) v, count(*) n from events group by user_id, event_type",
+    "select user_id, event_type k, arg_max(value, event_id) v, count(*) n from events group by user_id, event_type",
+)
+both("txn_json_attr", "select event_id, cast(get_json_object(props, '$.k') as bigint) k from events", "select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events")
+both(
+    "txn_parent_join",
+    "select l_orderkey, l_linenumber, o_custkey, cast(datediff(l_shipdate, o_orderdate) as bigint) n_days from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= o_orderdate",
+    "select l_orderkey, l_linenumber, o_custkey, cast(date_diff('day', o_orderdate, l_shipdate) as bigint) n_days from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= o_orderdate",
+)
+both("txn_links", "select a.o_orderkey src, b.o_orderkey dst from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderdate = b.o_orderdate and a.o_orderkey < b.o_orderkey")
+both(
+    "txn_delta",
+    "select o_orderkey, o_orderkey - coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey), 0) d_id, unix_micros(cast(o_orderdate as timestamp)) - coalesce(lag(unix_micros(cast(o_orderdate as timestamp))) over (partition by o_custkey order by o_orderdate, o_orderkey), 0) d_time from orders",
+    "select o_orderkey, o_orderkey - coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey), 0) d_id, epoch_us(o_orderdate) - coalesce(lag(epoch_us(o_orderdate)) over (partition by o_custkey order by o_orderdate, o_orderkey), 0) d_time from orders",
+)
+ANCESTRY = "with recursive p as (select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) parent from orders), t(id, depth) as (select o_orderkey, 0 from p where parent is null union all select p.o_orderkey, t.depth + 1 from p join t on p.parent = t.id) select id, depth from t"
+both("txn_ancestry", "select o_orderkey id, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as int) depth from orders", ANCESTRY)
+# --- calls
+DEPTH = "select conv_id, turn, e, s - least(0, min(s) over (partition by conv_id order by turn rows between unbounded preceding and current row)) - case when e = 1 then 1 else 0 end depth from (select conv_id, turn, e, sum(e) over (partition by conv_id order by turn rows between unbounded preceding and current row) s from (select conv_id, turn, case when role = 'user' then 1 else -1 end e from conversations where role in ('user', 'assistant')) a) b"
+both("call_depth", f"select conv_id, turn, e is_enter, cast(depth as bigint) depth from ({DEPTH}) d")
+both("call_tree", f"select conv_id, turn start_turn, case when ne = -1 then nt end end_turn, cast(depth as bigint) depth from (select *, lead(e) over (partition by conv_id, depth order by turn) ne, lead(turn) over (partition by conv_id, depth order by turn) nt from ({DEPTH}) d) x where e = 1")
+# --- hierarchy
+PATHS = "with recursive nodes as (select concat('r', cast(r_regionkey as varchar(20))) id, cast(null as varchar(20)) parent, r_name name from region union all select concat('n', cast(n_nationkey as varchar(20))), concat('r', cast(n_regionkey as varchar(20))), n_name from nation union all select concat('s', cast(s_suppkey as varchar(20))), concat('n', cast(s_nationkey as varchar(20))), s_name from supplier), t(id, path, depth) as (select id, name, 0 from nodes where parent is null union all select n.id, concat(t.path, '.', n.name), t.depth + 1 from nodes n join t on n.parent = t.id)"
+both("hier_paths", f"{PATHS} select id, path, depth from t")
+both("hier_depth_limit", f"{PATHS} select id, path, depth from t where depth < 2")
+both("hier_glob_filter", f"{PATHS} select id, path from t where path rlike '^(ASIA\\\\..*|EUROPE\\\\.G.*)$'", f"{PATHS} select id, path from t where regexp_matches(path, '^(ASIA\\..*|EUROPE\\.G.*)$')")
+# --- dictionaries, streams, codecs, blobs, graphs
+both("intern_dictionary", "select s, row_number() over (order by pos) str_id from (select event_type s, min(event_id) pos from events group by event_type) x")
+both("stream_by_kind", "select c_custkey stream_id, c_name name from customer where c_mktsegment = 'BUILDING'")
+both("missing_codecs", "select distinct event_type codec_id from events left anti join (select 'view' c union all select 'click') k on event_type = c", "select distinct event_type codec_id from events where event_type not in ('view', 'click')")
+DEPS = "with recursive e(node, dep) as (select 3, 1 union all select 3, 2 union all select 2, 1 union all select 4, 3), t(node, lvl) as (select 1, 0 union all select e.node, t.lvl + 1 from e join t on e.dep = t.node)"
+both("dep_levels", f"{DEPS} select node, max(lvl) lvl from t group by node")
+both("aux_ordinals", "select source owner, doc_id, row_number() over (partition by source order by doc_id) - 1 ordinal from documents")
+both("aux_keys_first_seen", "select source, lang, min(doc_id) pos from documents group by source, lang")
+both("metadata_last_wins", "select source k, max_by(lang, doc_id) v from documents group by source", "select source k, arg_max(lang, doc_id) v from documents group by source")
+both("block_overlap", "select count(*) n from (select date_trunc('hour', ts) b, min(ts) s, max(ts) e from events group by date_trunc('hour', ts)) x where e >= timestamp '2024-01-02 00:00:00' and s <= timestamp '2024-01-03 00:00:00'")
+both("enum_labels", "select e.event_id, l.label from events e left join (select 'view' code, 'V' label union all select 'click', 'C') l on e.event_type = l.code")
+# --- extensions: categories that a trace store has no operator for, added for analysis
+both("tumbling_counts", "select window.start h, count(*) n, count(distinct user_id) users from events group by window(ts, '1 hour')", "select time_bucket(interval '1 hour', ts) h, count(*) n, count(distinct user_id) users from events group by 1")
+both("session_windows", f"select user_id, session, min(ts) s, max(ts) e, count(*) n from (select *, sum(fresh) over ({W} rows between unbounded preceding and current row) session from (select *, case when lag(ts) over ({W}) is null or ts > lag(ts) over ({W}) + interval '30' minute then 1 else 0 end fresh from events) x) y group by user_id, session")
+both("rollup_by_scope", "select r_name, n_name, count(*) n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup(r_name, n_name)")
+
+# --- derived signals: a = scaled value of views, b = of purchases, per user
+A, B = Input(0), Input(1)
+#: name: (expression, width, the same in the other engine over a and b)
+DERIVED: dict[str, tuple[Expr, int, str]] = {
+    "drv_and": (A & B, 16, "a & b"),
+    "drv_or": (A | B, 16, "a | b"),
+    "drv_xor": (A ^ B, 16, "xor(a, b)"),
+    "drv_not": (~A, 16, "65535 - a % 65536"),
+    "drv_shl": (A.shl(3), 16, "a * 8"),
+    "drv_shr": (A.shr(2), 16, "a >> 2"),
+    "drv_lnot": (A.lnot(), 1, "(a = 0)::bigint"),
+    "drv_eq": (A.eq(B), 1, "(a = b)::bigint"),
+    "drv_ne": (A.ne(B), 1, "(a <> b)::bigint"),
+    "drv_red_and": (A.reduce_and(3), 1, "((a & 7) = 7)::bigint"),
+    "drv_red_or": (A.reduce_or(3), 1, "((a & 7) <> 0)::bigint"),
+    "drv_slice": (A.slice_(2, 3), 3, "(a >> 2) & 7"),
+    "drv_concat": (A.concat(B, 4), 16, "(a * 16) | (b & 15)"),
+    "drv_const": (A & Const(0x0F), 8, "a & 15"),
+    "drv_alias": (A, 16, "a"),
+    "drv_chain": ((A & B).lnot(), 1, "((a & b) = 0)::bigint"),
+}
+
+
+def _derived(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    expr, width, _ = DERIVED[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = F.floor(F.col("value") * 100).cast("long")
+        inputs = [(F.col("event_type") == "view", v), (F.col("event_type") == "purchase", v)]
+        result = compile_expr(expr, [F.col("in0"), F.col("in1")], width)
+        return signals.derived(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", inputs, result)
+
+    return run
+
+
+def _derived_sql(name: str) -> str:
+    _, width, text = DERIVED[name]
+    pick = lambda t: f"coalesce(last_value(case when event_type = '{t}' then cast(floor(value * 100) as bigint) end ignore nulls) over ({W} rows between unbounded preceding and current row), 0)"
+    return f"select user_id, ts, v from (select *, lag(v) over ({W}) p from (select user_id, ts, event_id, ({text}) & {(1 << width) - 1} v from (select *, {pick('view')} a, {pick('purchase')} b from events) x) y) z where p is null or p <> v"
+
+
+def vc_value_at_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of the latest view at or before each purchase."""
+    e = table(spark, sf_dir, "events")
+    probes = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    views = e.where("event_type = 'view'").select("user_id", "ts", "event_id", "value")
+    return signals.as_of(probes, views, ["user_id"], "ts", "event_id", "value", "view_value").where("view_value is not null").select("event_id", "view_value")
+
+
+def vc_snapshot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's value at one time."""
+    return signals.snapshot(table(spark, sf_dir, "events"), ["user_id"], F.expr("timestamp_ntz '2024-01-20 00:00:00'"), "ts", "event_id", "value").select("user_id", "value", "ts")
+
+
+def vc_pause_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes outside the span between their user's first and last error."""
+    e = table(spark, sf_dir, "events")
+    spans = e.where("event_type = 'error'").groupBy("user_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    return signals.pause_windows(e, spans, ["user_id"], "ts").select("event_id", "user_id")
+
+
+PLANS: dict[str, tuple[Callable, str | None]] = {
+    "vc_value_at_asof": (vc_value_at_asof, "select p.event_id, v.value view_value from (select * from events where event_type = 'purchase') p asof join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts"),
+    "vc_snapshot_all": (vc_snapshot_all, "select user_id, arg_max(value, event_id) \"value\", max(ts) ts from events where ts <= timestamp '2024-01-20 00:00:00' group by user_id"),
+    "vc_pause_windows": (vc_pause_windows, "select e.event_id, e.user_id from events e left join (select user_id, min(ts) lo, max(ts) hi from events where event_type = 'error' group by user_id) w on e.user_id = w.user_id and e.ts between w.lo and w.hi where w.user_id is null"),
+}
+
+
+def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if t in SQL[name][0]:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(SQL[name][0])
 
-def vc_change_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql("select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) p from events) where p is null or p <> event_type")
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"vc_change_only": vc_change_only}
+    return {n: _sql(n) for n in SQL} | {n: _derived(n) for n in DERIVED} | {n: f for n, (f, _) in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: other or text for n, (text, other) in SQL.items()} | {n: _derived_sql(n) for n in DERIVED} | {n: s for n, (_, s) in PLANS.items() if s}
