@@ -18,8 +18,10 @@ def work_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else os.path.join(tempfile.gettempdir(), "wavelake-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not known.isDefined():
+            spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "wavelake-checkpoints"))
+            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = known.get()
     return found.rstrip("/")
 
 
