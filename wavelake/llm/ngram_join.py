@@ -12,7 +12,8 @@ equal have one class; a class stands for all its copies from the first step on.
    long: they are never merged, only probed. Any partner occurs in one of the other, short lists, whose postings are
    merged into lists by a shuffle on the shingle.
 3. Each short list first pairs its members with one pivot. Those pairs are verified, and linked classes get a common
-   label. Only lists that still hold different labels then pair members across labels. A list of one large group of
+   label; lists that still hold different labels do so again with a pivot of another label. What then still differs is
+   paired across labels. A list of one large group of
    near copies thus costs one pair for each member, while no pair that could join two groups goes untested.
 4. A query class and a block of its candidates are verified together: the candidates' hits in the query's short lists
    are heap-merged into counts, those below T less the number of long lists are dropped, and the long lists are
@@ -250,16 +251,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between classes, enough to connect all that are linked."""
+    """(a, b): links between classes, enough to connect all that are linked.
+
+    A posting has `rem`, the shared shingles from its place on. Orders are the same in all classes, so at the first
+    shingle that two linked classes have in common, both have at least the needed number left: pairs that don't are
+    not linked, or meet in an earlier list. A list's pivot is the class with the fewest shingles of its own, as the
+    origin of a group of near copies has none, and the copies are closer to it than to each other.
+    """
     sets = store(shared(docs, words, percent), "sets")
-    lists = store(sets.select(F.col("cls").alias("id"), "n", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h")), "lists")
-    pivots = lists.groupBy("h").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").drop("other")
-    star = lists.join(pivots, "h").where("id <> pivot").select(F.col("pivot").alias("x"), F.col("id").alias("y")).distinct()
-    first = store(verified(star, sets, percent), "links")
-    labels = connected_components(first).withColumnRenamed("id", "l")
-    labelled = lists.join(labels, lists["id"] == labels["l"], "left").select("h", "id", "n", F.coalesce("component", "id").alias("grp"))
-    rest = cross_pairs(labelled, ["h"], f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
-    return first.unionByName(store(verified(rest, sets, percent), "links"))
+    each = sets.select(F.col("cls").alias("id"), "n", F.size("hs").alias("m"), F.posexplode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("pos", "h"))
+    lists = store(each.select("h", "id", "n", (F.col("m") - F.col("pos")).alias("rem"), (F.col("n") - F.col("m")).alias("own")), "lists")
+    enough = lambda a, b: f"({percent} * ({a}n + {b}n) + {99 + percent}) div {100 + percent} <= least({a}rem, {b}rem)"
+
+    def star(rows: DataFrame, pivot_of: DataFrame) -> DataFrame:
+        """Pairs of each list's pivot, the first of pivot_of's rows, with the rows of other groups."""
+        first = pivot_of.groupBy("h").agg(F.min_by(F.struct("id", "n", "rem", "grp"), F.struct("own", "id")).alias("p"))
+        pivots = first.select("h", F.col("p.id").alias("x"), F.col("p.n").alias("pn"), F.col("p.rem").alias("prem"), F.col("p.grp").alias("pgrp"))
+        met = rows.join(pivots, "h").where("grp <> pgrp").where(enough("", "p"))
+        return met.select("x", F.col("id").alias("y")).distinct()
+
+    def labelled(found: DataFrame) -> DataFrame:
+        labels = connected_components(found).withColumnRenamed("id", "l")
+        rows = lists.join(labels, lists["id"] == labels["l"], "left").select("h", "id", "n", "rem", "own", F.coalesce("component", "id").alias("grp"))
+        mixed = rows.groupBy("h").agg(F.min_by("grp", F.struct("own", "id")).alias("lead"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        return store(rows.join(mixed, "h"), "mixed")
+
+    alone = lists.withColumn("grp", F.col("id"))
+    found = store(verified(star(alone, alone), sets, percent), "links")
+    mixed = labelled(found)
+    found = store(found.unionByName(verified(star(mixed, mixed.where("grp <> lead")), sets, percent)), "links")
+    rest = cross_pairs(labelled(found).drop("lead"), ["h"], enough("a.", "b."))
+    return found.unionByName(store(verified(rest, sets, percent), "links"))
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
