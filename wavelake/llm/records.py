@@ -60,6 +60,15 @@ def frames(data: bytes):
         at += 12 + size + 4 + 1
 
 
+def payload_at(data: bytes, at: int) -> bytes:
+    """The payload of the frame at a place that the index gave."""
+    size, check = HEAD.unpack_from(data, at)
+    payload = data[at + 12 : at + 12 + size]
+    if check != masked(data[at : at + 8]) or struct.unpack_from("<I", data, at + 12 + size)[0] != masked(payload):
+        raise ValueError(f"checksum differs at {at}")
+    return payload
+
+
 def payload_of(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     return OWN.pack(doc_id is not None, doc_id or 0, width) + ids.astype(f"<u{width}").tobytes()
 
@@ -136,10 +145,7 @@ def read(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
             for data, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 raw, rows = data.as_py(), []
                 for at in places:
-                    size, check = HEAD.unpack_from(raw, at)
-                    payload = raw[at + 12 : at + 12 + size]
-                    if check != masked(raw[at : at + 8]) or struct.unpack_from("<I", raw, at + 12 + size)[0] != masked(payload):
-                        raise ValueError(f"checksum differs at {at}")
+                    payload = payload_at(raw, at)
                     doc, ids = parse(payload)
                     rows.append((doc, ids.tolist()))
                 if rows:
