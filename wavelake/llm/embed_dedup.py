@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wavelake.llm.common import connected_components, cross_pairs, store
 
-TABLES, HASHES, PROBES, ROUNDS = 10, 2, 5, 3
+TABLES, HASHES, PROBES, ROUNDS = 6, 2, 3, 3
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
