@@ -32,7 +32,7 @@ from wavelake.llm.common import held_out, small_batches
 from wavelake.llm.trees import sigmoid
 
 #: Labelled documents of each class that the fit sees at most.
-LIMIT = 4_000
+LIMIT = 3_000
 #: Bytes of ordinary text, and odds from which a word counts as toxic text.
 ORDINARY_BYTES, ODDS = 110_000, 20
 HEAD, TAIL = b"\x02start-of-window\x03", b" \x04the-window-ends\x05"
@@ -106,17 +106,29 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    seen: tuple[dict, dict] = ({}, {})
-    families: tuple[set, set] = (set(), set())
-    for text, k in rows:
-        own = set(words(text))
-        one = family(own)
-        families[k].add(one)
-        for w in own:
-            seen[k].setdefault(w, set()).add(one)
-    n0, n1 = map(len, families)
-    odds = {w: (len(f) + 0.5) / (n1 + 1) / ((len(seen[0].get(w, ())) + 0.5) / (n0 + 1)) for w, f in seen[1].items() if len(f) >= max(3, round(0.004 * n1))}
-    over = sorted((w for w, v in odds.items() if v >= ODDS), key=lambda w: (-len(seen[1][w]) * math.log(odds[w]), w))
+    # texts in the order of their families, so that the last family that used a word tells whether it counts again
+    marked = sorted(((family(set(words(t))), i) for i, (t, _) in enumerate(rows)))
+    counts: tuple[dict, dict] = ({}, {})
+    n = [0, 0]
+    wanted: set[str] = set()
+    for k in (1, 0):  # ordinary texts are counted only for the words that matter
+        last, before = {}, None
+        for one, i in marked:
+            if rows[i][1] != k:
+                continue
+            n[k] += one != before
+            before = one
+            for w in set(words(rows[i][0])):
+                if (k == 1 or w in wanted) and last.get(w) != one:
+                    last[w] = one
+                    counts[k][w] = counts[k].get(w, 0) + 1
+        if k == 1:
+            wanted = {w for w, c in counts[1].items() if c >= max(3, round(0.004 * n[1]))}
+    n0, n1 = n
+    odds = {w: (counts[1][w] + 0.5) / (n1 + 1) / ((counts[0].get(w, 0) + 0.5) / (n0 + 1)) for w in wanted}
+    often = {w: counts[1][w] for w in wanted}
+    del counts, last
+    over = sorted((w for w, v in odds.items() if v >= ODDS), key=lambda w: (-often[w] * math.log(odds[w]), w))
     text, size, ordinary = set(), 0, []
     for t, k in rows:
         if k == 0 and size < ORDINARY_BYTES:
@@ -130,8 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
     for t, _ in rows:
         own = list(dict.fromkeys(words(t)))
         new = [w for w in own if w not in memo]
-        memo.update(zip(new, of(new), strict=True))
-        x.append(features(np.array([memo[w] for w in own])))
+        found = dict(zip(new, of(new), strict=True))
+        x.append(features(np.array([found[w] if w in found else memo[w] for w in own])))
+        if len(memo) + len(found) > MEMO // 4:
+            memo.clear()
+        memo.update(found)
     x = np.array(x)
     model["scale"] = x.std(axis=0) + 1e-6
     model["weights"] = logistic(x / model["scale"], y)
