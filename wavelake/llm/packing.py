@@ -26,6 +26,8 @@ from wavelake.llm.common import small_batches, store
 
 LIMIT = 4096
 GROUP = 200_000
+#: Pieces a worker remembers: fewer than elsewhere, as in a pipeline its memory is shared with other stages' workers.
+MEMO = 300_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int = LIMIT, keep_ids: bool = False) -> DataFrame:
@@ -37,6 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int = LIMIT, kee
         from wavelake.llm.tokens import encoder
 
         enc = encoder(tokenizer)
+        enc.limit = MEMO
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         n = 6 if keep_ids else 5

@@ -76,6 +76,7 @@ class Encoder:
         self.special = tuple(x["content"] for x in self.file.get("added_tokens") or [])
         self.cut = regex.compile(BYTE_PATTERN if self.kind == "byte" else WORD_PATTERN)
         self.pieces: dict[str, bytes] = {}
+        self.limit = MEMO
         vocab = self.library.get_vocab()
         self.sizes, self.closes = np.zeros(max(vocab.values()) + 1, np.int64), np.zeros(max(vocab.values()) + 1, bool)
         for token, k in vocab.items():  # byte level: one character stands for one byte
@@ -149,7 +150,7 @@ class Encoder:
                 if p is not None:
                     known[x] = b"".join([made[t] if t in made else memo[t] for t in p])
         out = [known[x] if x in known else memo[x] for x in pieces]
-        if len(memo) + len(known) > MEMO:
+        if len(memo) + len(known) > self.limit:
             memo.clear()
         memo.update(known)
         return out

@@ -37,7 +37,7 @@ LIMIT = 3_000
 ORDINARY_BYTES, ODDS = 110_000, 20
 HEAD, TAIL = b"\x02start-of-window\x03", b" \x04the-window-ends\x05"
 MARGINS = (3, 4, 5, 6, 7)
-MEMO = 600_000
+MEMO = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
         new = [w for w in own if w not in memo]
         found = dict(zip(new, of(new), strict=True))
         x.append(features(np.array([found[w] if w in found else memo[w] for w in own])))
-        if len(memo) + len(found) > MEMO // 4:
+        if len(memo) + len(found) > MEMO:
             memo.clear()
         memo.update(found)
     x = np.array(x)
