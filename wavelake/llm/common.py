@@ -30,6 +30,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system: workers are reused, and what their allocators keep adds up over the stages of a job."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """run, a function over batches, after which its worker keeps no freed memory."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return held
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

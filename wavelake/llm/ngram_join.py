@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import connected_components, cross_pairs, small_batches, store
+from wavelake.llm.common import connected_components, cross_pairs, small_batches, store, trimmed
 
 WORDS, PERCENT = 4, 85
 #: Characters of text to a range of shingle hashes, about.
@@ -96,7 +96,7 @@ def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([class_of(h) if len(h) else None for h in sets], pa.int64())], names=["doc_id", "n", "cls"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, cls long")
+    return _texts(docs).mapInArrow(trimmed(run), "doc_id long, n long, cls long")
 
 
 def _packed(bits: int, keys: np.ndarray, parts: dict[str, np.ndarray], cls: np.ndarray, size: np.ndarray):
@@ -196,9 +196,9 @@ def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cls", "n", "k", "hs"])
 
     packed = "key long, cls binary, size binary, count binary, h binary"
-    posted = texts.mapInArrow(post, packed).repartition("key").sortWithinPartitions("key")
-    counted = posted.mapInArrow(count, packed + ", rare binary").repartition("key").sortWithinPartitions("key")
-    return counted.mapInArrow(gather, "cls long, n long, k long, hs array<long>")
+    posted = texts.mapInArrow(trimmed(post), packed).repartition("key").sortWithinPartitions("key")
+    counted = posted.mapInArrow(trimmed(count), packed + ", rare binary").repartition("key").sortWithinPartitions("key")
+    return counted.mapInArrow(trimmed(gather), "cls long, n long, k long, hs array<long>")
 
 
 def divide_skip(short: np.ndarray, long: np.ndarray, sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     left = sets.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("k").alias("kx"), F.col("hs").alias("hx"))
     right = sets.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("hs").alias("hy"))
     met = pairs.join(right, "y").join(left, "x").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return met.select("x", "y", "nx", "kx", "hx", "ny", "hy").mapInArrow(run, "a long, b long")
+    return met.select("x", "y", "nx", "kx", "hx", "ny", "hy").mapInArrow(trimmed(run), "a long, b long")
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wavelake.llm.common import small_batches, store
+from wavelake.llm.common import small_batches, store, trimmed
 
 LIMIT = 4096
 GROUP = 200_000
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int = LIMIT, kee
             cols = list(zip(*rows, strict=True)) or [[]] * n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=names[:n])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), schema)
 
 
 def place(lengths, limit: int):
@@ -105,7 +105,7 @@ def pack(cut: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
             yield from t.append_column("offset", pa.array(offsets)).to_batches()
 
     dealt = cut.repartition(n, F.pmod(F.xxhash64(*keys), F.lit(1 << 30))) if n > 1 else cut.coalesce(1)
-    return dealt.sortWithinPartitions(F.desc("length"), *keys).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(F.desc("length"), *keys).mapInArrow(trimmed(run), schema)
 
 
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int, limit: int = LIMIT, keep_ids: bool = False, group: int = GROUP) -> DataFrame:

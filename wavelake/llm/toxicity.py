@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wavelake.llm.common import held_out, small_batches
+from wavelake.llm.common import held_out, small_batches, trimmed
 from wavelake.llm.trees import sigmoid
 
 #: Labelled documents of each class that the fit sees at most.
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: dict | None, extra: tuple[str, ...] = ()) -> D
             z = x / scale @ weights[:-1] + weights[-1] if len(lists) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(z), pa.float64())], names=[*b.schema.names, "score"])
 
-    return d.mapInArrow(run, StructType([*d.schema, StructField("score", DoubleType())]))
+    return d.mapInArrow(trimmed(run), StructType([*d.schema, StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = LIMIT) -> DataFrame:
