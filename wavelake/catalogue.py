@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.functions.expr import Const, Expr, Input, compile_expr
-from wavelake.operators import signals
+from wavelake.operators import planes, signals
+from wavelake.operators.numbering import numbered
 from wavelake.session import table
+from wavelake.streaming import capture
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 W = "partition by user_id order by ts, event_id"
@@ -29,7 +31,6 @@ def both(name: str, text: str, other: str | None = None) -> None:
 
 # --- scans, ranges and blocks
 both("vc_scan_range", "select count(*) n, min(event_id) first_id from events where ts >= timestamp '2024-01-05 00:00:00' and ts <= timestamp '2024-01-10 00:00:00'")
-both("vc_flush_blocks", "select block, count(*) n, min(event_id) first_id, max(event_id) last_id from (select event_id, cast(floor((row_number() over (order by ts, event_id) - 1) / 1000) as bigint) block from events) x group by block")
 both("vc_block_index", "select date_trunc('hour', ts) block, min(ts) start_ts, max(ts) end_ts, count(*) n, count(distinct user_id) n_vars from events group by date_trunc('hour', ts)")
 both("vc_seek_block", "select min(block) block from (select date_trunc('hour', ts) block, min(ts) s from events group by date_trunc('hour', ts)) b where s >= timestamp '2024-01-03 00:30:00'")
 # --- change-only, forward fill, settle, snapshot, pause
@@ -100,7 +101,6 @@ both("hier_paths", f"{PATHS} select id, path, depth from t")
 both("hier_depth_limit", f"{PATHS} select id, path, depth from t where depth < 2")
 both("hier_glob_filter", f"{PATHS} select id, path from t where path rlike '^(ASIA\\\\..*|EUROPE\\\\.G.*)$'", f"{PATHS} select id, path from t where regexp_matches(path, '^(ASIA\\..*|EUROPE\\.G.*)$')")
 # --- dictionaries, streams, codecs, blobs, graphs
-both("intern_dictionary", "select s, row_number() over (order by pos) str_id from (select event_type s, min(event_id) pos from events group by event_type) x")
 both("stream_by_kind", "select c_custkey stream_id, c_name name from customer where c_mktsegment = 'BUILDING'")
 both("missing_codecs", "select distinct event_type codec_id from events left anti join (select 'view' c union all select 'click') k on event_type = c", "select distinct event_type codec_id from events where event_type not in ('view', 'click')")
 DEPS = "with recursive e(node, dep) as (select 3, 1 union all select 3, 2 union all select 2, 1 union all select 4, 3), t(node, lvl) as (select 1, 0 union all select e.node, t.lvl + 1 from e join t on e.dep = t.node)"
@@ -176,7 +176,40 @@ def vc_pause_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.pause_windows(e, spans, ["user_id"], "ts").select("event_id", "user_id")
 
 
+def vc_flush_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 1,000 changes in order of time."""
+    rows = numbered(table(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"])
+    return rows.groupBy(F.expr("(rn - 1) div 1000").alias("block")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+def intern_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ids of strings by first occurrence."""
+    first = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("s")).agg(F.min("event_id").alias("pos"))
+    return numbered(first, ["pos"], "str_id").select("s", "str_id")
+
+
+def byte_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's four byte planes, in hexadecimal."""
+    return planes.split(table(spark, sf_dir, "embeddings"), "embedding", keys=("vec_id",)).select("vec_id", F.hex("planes").alias("planes"))
+
+
+def stream_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vc_settle, from a stream."""
+    settled = capture.run_available(capture.settle(capture.changes(spark, sf_dir), ["user_id"]), "update", ["user_id", "h"])
+    return settled.withColumn("h", F.col("h").cast("timestamp_ntz"))
+
+
+def stream_begin_end_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """txn_begin_end_pair, from a stream."""
+    return capture.run_available(capture.pairs(capture.changes(spark, sf_dir), "view", "purchase"), "append")
+
+
 PLANS: dict[str, tuple[Callable, str | None]] = {
+    "vc_flush_blocks": (vc_flush_blocks, "select block, count(*) n, min(event_id) first_id, max(event_id) last_id from (select event_id, cast(floor((row_number() over (order by ts, event_id) - 1) / 1000) as bigint) block from events) x group by block"),
+    "intern_dictionary": (intern_dictionary, "select s, row_number() over (order by pos) str_id from (select event_type s, min(event_id) pos from events group by event_type) x"),
+    "byte_split": (byte_split, None),
+    "stream_settle": (stream_settle, SQL["vc_settle"][1]),
+    "stream_begin_end_pair": (stream_begin_end_pair, SQL["txn_begin_end_pair"][0]),
     "vc_value_at_asof": (vc_value_at_asof, "select p.event_id, v.value view_value from (select * from events where event_type = 'purchase') p asof join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts"),
     "vc_snapshot_all": (vc_snapshot_all, "select user_id, arg_max(value, event_id) \"value\", max(ts) ts from events where ts <= timestamp '2024-01-20 00:00:00' group by user_id"),
     "vc_pause_windows": (vc_pause_windows, "select e.event_id, e.user_id from events e left join (select user_id, min(ts) lo, max(ts) hi from events where event_type = 'error' group by user_id) w on e.user_id = w.user_id and e.ts between w.lo and w.hi where w.user_id is null"),
