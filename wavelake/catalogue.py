@@ -61,7 +61,21 @@ both(
     "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(array_join(transform(array_sort(collect_list(struct(ts, event_id, event_type))), x -> x.event_type), ',')) wave from events group by user_id) x group by wave",
     "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(string_agg(event_type, ',' order by ts, event_id)) wave from events group by user_id) x group by wave",
 )
+both("vc_dump_limit", "select event_id from (select event_id, 16 * row_number() over (partition by date_trunc('hour', ts) order by ts, event_id) used from events) x where used <= 48")
+both("vc_scope_blocks", "select c_nationkey scope_id, count(*) n, min(ts) start_ts, max(ts) end_ts, count(distinct user_id) n_vars from events join customer on user_id = c_custkey group by c_nationkey")
+both("vc_last_before_block", "select h, user_id, event_id from (select date_trunc('hour', ts) h, user_id, event_id, row_number() over (partition by user_id, date_trunc('hour', ts) order by ts desc, event_id desc) k from events) x where k = 1")
+both(
+    "vc_time_table",
+    "select h, t, t - coalesce(lag(t) over (partition by h order by t), t) d from (select distinct date_trunc('hour', ts) h, unix_micros(cast(ts as timestamp)) t from events) x",
+    "select h, t, t - coalesce(lag(t) over (partition by h order by t), t) d from (select distinct date_trunc('hour', ts) h, epoch_us(ts) t from events) x",
+)
+both("vc_radix_labels", "select event_id, lower(hex(event_id)) hex, bin(event_id) bits from events", "select event_id, lower(to_hex(event_id)) hex, to_binary(event_id) bits from events")
+both("signal_type_dedup", "select distinct p_type encoding, p_size bit_width from part")
 # --- transactions
+both("txn_overlap", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem join orders on l_orderkey = o_orderkey where o_orderdate <= timestamp '1995-03-31 00:00:00' and l_shipdate >= timestamp '1995-03-01 00:00:00' and l_shipdate >= o_orderdate")
+both("txn_stream_compat", "select o_orderkey txn_id from orders where o_custkey = 7 or o_custkey is null")
+both("txn_attr_sequence", "select user_id, event_type, event_id, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 pos from events")
+both("txn_to_tagged_records", "select o_orderkey txn_id, 'BEGIN' tag, o_orderdate t from orders union all select l_orderkey, 'END', max(l_shipdate) from lineitem group by l_orderkey")
 both("txn_full", "select o_orderkey txn_id, o_custkey stream_id, o_orderdate start_time, o_orderstatus status from orders")
 both("txn_stream_filter", "select o.o_orderkey txn_id, c.c_name stream_name from orders o join customer c on o.o_custkey = c.c_custkey where c.c_mktsegment = 'BUILDING' and c.c_nationkey < 5")
 both("txn_stream_range", "select o_orderkey txn_id from orders where o_custkey = 7 and o_orderdate between timestamp '1993-01-01' and timestamp '1997-12-31'")
@@ -100,6 +114,10 @@ PATHS = "with recursive nodes as (select concat('r', cast(r_regionkey as varchar
 both("hier_paths", f"{PATHS} select id, path, depth from t")
 both("hier_depth_limit", f"{PATHS} select id, path, depth from t where depth < 2")
 both("hier_glob_filter", f"{PATHS} select id, path from t where path rlike '^(ASIA\\\\..*|EUROPE\\\\.G.*)$'", f"{PATHS} select id, path from t where regexp_matches(path, '^(ASIA\\..*|EUROPE\\.G.*)$')")
+both("hier_children", f"{PATHS} select n.parent, count(*) n_children from nodes n join t on n.parent = t.id group by n.parent")
+both("aux_read", "select doc_id, row_number() over (partition by source, lang order by doc_id) - 1 ordinal from (select doc_id, source, lang from documents where source = (select min(source) from documents) and lang = (select min(lang) from documents)) x")
+both("string_lookup", "select n_nationkey str_id, n_name s, count(c_custkey) n from nation left join customer on n_nationkey = c_nationkey group by n_nationkey, n_name")
+both("ext_by_type", "select page_id, octet_length(html) n_bytes from pages where url like 'http%'", "select page_id, cast(octet_length(encode(html)) as integer) n_bytes from pages where url like 'http%'")
 # --- dictionaries, streams, codecs, blobs, graphs
 both("stream_by_kind", "select c_custkey stream_id, c_name name from customer where c_mktsegment = 'BUILDING'")
 both("missing_codecs", "select distinct event_type codec_id from events left anti join (select 'view' c union all select 'click') k on event_type = c", "select distinct event_type codec_id from events where event_type not in ('view', 'click')")
