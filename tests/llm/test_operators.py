@@ -209,6 +209,16 @@ def test_classifiers(spark, odd, module, label, cut):
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_ordinary_dictionary_is_of_all_documents(spark):
+    """One long document of the smallest id leaves room for the words that most ordinary documents use."""
+    common = [f"gewoehnlich{i}" for i in range(30)]
+    docs = [(0, " ".join(f"unique{i:06}" for i in range(12_000)))] + [(i, " ".join([*common, f"own{i}x"])) for i in range(1, 200)]
+    docs += [(i, f"vileword{i % 3} nasty{i}") for i in range(200, 260)]
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert set(common) <= set(model["ordinary"].decode().split()) and len(model["ordinary"]) <= toxicity.ORDINARY_BYTES
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,8 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
 A window is compressed with each dictionary, and its margin is the ordinary length less the toxic one. Both
-dictionaries are raw content. Ordinary text is what labelled ordinary documents say, each word once; toxic text is
-the words of labelled toxic documents that far more of these than of ordinary ones use (by default 20 times the
+dictionaries are raw content. Ordinary text is the words that most families of all sampled ordinary documents use,
+each once, up to `ordinary_bytes`; words of equally many families are taken by their hash, so that neither an id, a
+long text nor a source goes first. Toxic text is the words of labelled toxic documents that far more of these than of ordinary ones use (by default 20 times the
 odds). Windows are single words between two guard strings that both dictionaries hold: zstandard looks for no match
 in the last bytes of its input and stores short inputs as they are, which would hide a short window's margin.
 
@@ -33,8 +34,8 @@ from wavelake.llm.trees import sigmoid
 
 #: Labelled documents of each class that the fit sees at most.
 LIMIT = 3_000
-#: Bytes of ordinary text, and odds from which a word counts as toxic text.
-ORDINARY_BYTES, ODDS = 110_000, 20
+#: Bytes of ordinary and of toxic text at most, and odds from which a word counts as toxic text.
+ORDINARY_BYTES, TOXIC_BYTES, ODDS = 110_000, 110_000, 20
 HEAD, TAIL = b"\x02start-of-window\x03", b" \x04the-window-ends\x05"
 MARGINS = (3, 4, 5, 6, 7)
 MEMO = 200_000
@@ -100,9 +101,27 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> list:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").orderBy("doc_id").select("text", "y").collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, ordinary_bytes: int = ORDINARY_BYTES) -> dict | None:
     """toxic and ordinary dictionary contents and the weights; None without both classes."""
-    rows = sample(docs, labels, "toxic", limit)
+    return learn(sample(docs, labels, "toxic", limit), ordinary_bytes)
+
+
+def commonest(counts: dict[str, int], room: int) -> bytes:
+    """The words of most families that fit into `room` bytes, the commonest last, where matches are cheapest."""
+    chosen, size = [], 0
+    for w in sorted(counts, key=lambda w: (-counts[w], zlib.crc32(w.encode("utf-8", "replace")), w)):
+        one = b" " + w.encode("utf-8", "replace")
+        if size + len(one) > room:
+            if room - size < 8:
+                break
+            continue  # a long word leaves its room to others
+        chosen.append(one)
+        size += len(one)
+    return b"".join(reversed(chosen))
+
+
+def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES) -> dict | None:
+    """fit() from (text, label) rows."""
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
@@ -111,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
     counts: tuple[dict, dict] = ({}, {})
     n = [0, 0]
     wanted: set[str] = set()
-    for k in (1, 0):  # ordinary texts are counted only for the words that matter
+    for k in (1, 0):
         last, before = {}, None
         for one, i in marked:
             if rows[i][1] != k:
@@ -119,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
             n[k] += one != before
             before = one
             for w in set(words(rows[i][0])):
-                if (k == 1 or w in wanted) and last.get(w) != one:
+                if last.get(w) != one:
                     last[w] = one
                     counts[k][w] = counts[k].get(w, 0) + 1
         if k == 1:
@@ -127,16 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict | None:
     n0, n1 = n
     odds = {w: (counts[1][w] + 0.5) / (n1 + 1) / ((counts[0].get(w, 0) + 0.5) / (n0 + 1)) for w in wanted}
     often = {w: counts[1][w] for w in wanted}
+    ordinary = commonest(counts[0], ordinary_bytes)
     del counts, last
     over = sorted((w for w, v in odds.items() if v >= ODDS), key=lambda w: (-often[w] * math.log(odds[w]), w))
-    text, size, ordinary = set(), 0, []
-    for t, k in rows:
-        if k == 0 and size < ORDINARY_BYTES:
-            new = [w for w in words(t) if w not in text]
-            text.update(new)
-            ordinary += dict.fromkeys(new)
-            size += sum(len(w.encode()) + 1 for w in dict.fromkeys(new))
-    model = {"toxic": "".join(" " + w for w in reversed(over)).encode()[-ORDINARY_BYTES:], "ordinary": (" " + " ".join(ordinary)).encode()[:ORDINARY_BYTES]}
+    model = {"toxic": "".join(" " + w for w in reversed(over)).encode()[-TOXIC_BYTES:], "ordinary": ordinary}
     of, memo = margins(model["toxic"], model["ordinary"]), {}
     x = []
     for t, _ in rows:
@@ -184,7 +197,7 @@ def score(docs: DataFrame, model: dict | None, extra: tuple[str, ...] = ()) -> D
     return d.mapInArrow(trimmed(run), StructType([*d.schema, StructField("score", DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = LIMIT) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = LIMIT, ordinary_bytes: int = ORDINARY_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    s = score(docs, fit(docs, labels, limit)).select("doc_id", "score")
+    s = score(docs, fit(docs, labels, limit, ordinary_bytes)).select("doc_id", "score")
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
