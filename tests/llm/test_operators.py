@@ -219,6 +219,22 @@ def test_ordinary_dictionary_is_of_all_documents(spark):
     assert set(common) <= set(model["ordinary"].decode().split()) and len(model["ordinary"]) <= toxicity.ORDINARY_BYTES
 
 
+@pytest.mark.parametrize(("module", "label", "share"), [(quality, "quality", 0.85), (toxicity, "toxic", 0.1)])
+def test_the_limit_keeps_the_prior(spark, module, label, share):
+    """Where both classes reach the limit, scores still average to the share over all labels: texts don't tell the classes apart fully."""
+    rng = np.random.default_rng(5)
+    docs, labels = [], []
+    for i in range(2000):
+        y = int(rng.random() < share)
+        odd = rng.random() < (0.6 if y == (label == "toxic") else 0.2)
+        docs.append((i, " ".join([f"w{x}" for x in rng.integers(0, 50, 12)] + ["vilest!!"] * 2 * odd)))
+        labels.append((i, y))
+    true = np.mean([y for _, y in labels])
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, f"doc_id long, {label} int")
+    got = np.mean([r.score for r in module.classify(d, t, limit=100).collect()])
+    assert abs(got - true) < 0.08
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

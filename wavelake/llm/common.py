@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -72,6 +73,22 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
 
 
+def training_ids(labels: DataFrame, label: str, limit: int) -> tuple[list[tuple[int, int]], float]:
+    """(doc_id, label) of at most `limit` training rows of each class, lowest hashes first, and what the bound did to the log odds.
+
+    The second is to be added to the intercept of a logistic fit on these rows: the log odds of the classes over all
+    training labels less those over the chosen ones, so 0 where the bound cut nothing or a class is missing.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
+    ids = [[(r[0], r[1]) for r in known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()] for k in (0, 1)]
+    if not ids[0] or not ids[1]:
+        return [*ids[0], *ids[1]], 0.0
+    if max(map(len, ids)) < limit:
+        return [*ids[0], *ids[1]], 0.0
+    total = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    return [*ids[0], *ids[1]], math.log(total[1] / len(ids[1])) - math.log(total[0] / len(ids[0]))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges(a, b): the smallest id reachable.
 

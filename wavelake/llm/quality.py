@@ -6,7 +6,8 @@ the score is the logistic of their weighted sum, compiled into one column expres
 nothing is shuffled for scoring.
 
 The fit uses statistics (not texts) of a bounded sample of labelled rows: `limit` rows of each class, lowest hashes
-first. Nulls: a null text is empty; null labels and labels of unknown ids don't train; without both classes the
+first; where the bound changes the share of good rows, the intercept is shifted to the share over all training
+labels, so scores and cuts mean the same at each table size. Nulls: a null text is empty; null labels and labels of unknown ids don't train; without both classes the
 score is the share of good labels, or 1 without labels, so that nothing is rejected unlearnt. Empty and very long
 texts, ties and repeated rows are scored alike; empty tables give no rows; further columns are ignored.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm import trees
-from wavelake.llm.common import held_out
+from wavelake.llm.common import held_out, training_ids
 
 #: Labelled documents of each class that the fit sees at most.
 LIMIT = 8_000
@@ -56,15 +57,15 @@ def statistics(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return d.select("doc_id", *extra, *[columns[k].cast("double").alias(k) for k in STATISTICS])
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Statistics and labels of the training rows, and the shift of training_ids()."""
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
-    ids = [(r[0], r[1]) for k in (0, 1) for r in known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+    ids, shift = training_ids(labels, "quality", limit)
     if not ids:
-        return np.zeros((0, len(STATISTICS))), np.zeros(0)
+        return np.zeros((0, len(STATISTICS))), np.zeros(0), 0.0
     wanted = spark.createDataFrame(ids, "doc_id long, y int")
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), ("y",)).orderBy("doc_id").drop("doc_id").collect()
-    return np.array([r[1:] for r in rows], float).reshape(len(rows), -1), np.array([r[0] for r in rows], float)
+    return np.array([r[1:] for r in rows], float).reshape(len(rows), -1), np.array([r[0] for r in rows], float), shift
 
 
 def holds(rule: tuple, x: np.ndarray) -> np.ndarray:
@@ -91,14 +92,14 @@ def lasso(r: np.ndarray, y: np.ndarray, weight: float, steps: int = 600) -> tupl
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> dict:
     """rules with weights, and the intercept."""
-    x, y = sample(docs, labels, limit)
+    x, y, shift = sample(docs, labels, limit)
     if not len(y) or y.min() == y.max():
         return {"rules": [], "base": 40.0 if not len(y) or y.min() == 1 else -40.0}
     _, grown = trees.fit(x, y, ROUNDS, DEPTH, least=max(3, len(y) // 400))
     rules = list(dict.fromkeys(p for tree in grown for p in trees.paths(tree)))
     made = np.stack([holds(r, x) for r in rules], axis=1).astype(float)
     weights, base = lasso(made, y, LASSO)
-    return {"rules": [(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-4], "base": base}
+    return {"rules": [(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-4], "base": base + shift}
 
 
 def score(model: dict) -> Column:

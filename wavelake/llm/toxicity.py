@@ -8,10 +8,12 @@ odds). Windows are single words between two guard strings that both dictionaries
 in the last bytes of its input and stores short inputs as they are, which would hide a short window's margin.
 
 A document's score is a logistic function of its largest margin and of how many windows reach each of several
-margins, fitted on the same labelled documents; scores are probabilities, so a threshold on them is calibrated.
+margins, fitted on the same labelled documents.
 
-The fit uses a bounded sample of labelled rows (`limit` for each class, lowest hashes first); every document is
-scored over its whole text, on its executor, with a bounded memo of windows and without a shuffle.
+The fit uses a bounded sample of labelled rows (`limit` for each class, lowest hashes first). Where the bound changes
+the share of toxic rows, the intercept is shifted by the log odds over all training labels less those of the sample,
+so a score is a probability at the share of toxic rows among the labels, whatever the table's size; a threshold on
+it means the same at each size. Every document is scored over its whole text, on its executor, with a bounded memo of windows and without a shuffle.
 
 Nulls: a null text is empty; a text without words scores by the base rate of margin 0. Null labels and labels of
 unknown ids are no training rows. Without both classes the score is 0. Repeated rows and ties score alike, long
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wavelake.llm.common import held_out, small_batches, trimmed
+from wavelake.llm.common import held_out, small_batches, training_ids, trimmed
 from wavelake.llm.trees import sigmoid
 
 #: Labelled documents of each class that the fit sees at most.
@@ -90,20 +92,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> list:
-    """(text, label) of at most `limit` training rows of each class. Ids come to the driver first, as many as the limit; the texts follow by a join with those."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list, float]:
+    """(text, label) of at most `limit` training rows of each class, and the shift of training_ids(). Ids come to the driver first, as many as the limit; the texts follow by a join with those."""
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).distinct()
-    ids = [r for k in (0, 1) for r in known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+    ids, shift = training_ids(labels, label, limit)
     if not ids:
-        return []
-    wanted = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, y int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").orderBy("doc_id").select("text", "y").collect()
+        return [], 0.0
+    wanted = spark.createDataFrame(ids, "doc_id long, y int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").orderBy("doc_id").select("text", "y").collect(), shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, ordinary_bytes: int = ORDINARY_BYTES) -> dict | None:
     """toxic and ordinary dictionary contents and the weights; None without both classes."""
-    return learn(sample(docs, labels, "toxic", limit), ordinary_bytes)
+    rows, shift = sample(docs, labels, "toxic", limit)
+    return learn(rows, ordinary_bytes, shift)
 
 
 def commonest(counts: dict[str, int], room: int) -> bytes:
@@ -120,8 +122,8 @@ def commonest(counts: dict[str, int], room: int) -> bytes:
     return b"".join(reversed(chosen))
 
 
-def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES) -> dict | None:
-    """fit() from (text, label) rows."""
+def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0) -> dict | None:
+    """fit() from (text, label) rows; `shift` is added to the log odds."""
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
@@ -163,6 +165,7 @@ def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES) -> dict | None:
     x = np.array(x)
     model["scale"] = x.std(axis=0) + 1e-6
     model["weights"] = logistic(x / model["scale"], y)
+    model["weights"][-1] += shift
     return model
 
 
