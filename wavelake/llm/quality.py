@@ -65,7 +65,7 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray,
         return np.zeros((0, len(STATISTICS))), np.zeros(0), 0.0
     wanted = spark.createDataFrame(ids, "doc_id long, y int")
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), ("y",)).orderBy("doc_id").drop("doc_id").collect()
-    return np.array([r[1:] for r in rows], float).reshape(len(rows), -1), np.array([r[0] for r in rows], float), shift
+    return np.array([r[1:] for r in rows], float).reshape(len(rows), len(STATISTICS)), np.array([r[0] for r in rows], float), shift
 
 
 def holds(rule: tuple, x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,9 +116,14 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(scan, "doc_id long, shard string, offset long, size long, ordinal long, n_tokens long, ids_crc32 long")
 
 
+def shard_number(name: Column) -> Column:
+    """The partition number in a shard's file name, as a number: from 100,000 on it has more digits than names are padded to, so names as text are out of order."""
+    return F.regexp_extract(name, "^part-([0-9]+)", 1).cast("long")
+
+
 def with_starts(idx: DataFrame) -> DataFrame:
     """The index with `start`, the ids of all records before: a running sum in each shard, and one over the shards' totals, of which there is one row a shard."""
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(shard_number(F.col("s")), "s").rowsBetween(Window.unboundedPreceding, -1)
     totals = idx.groupBy(F.col("shard").alias("s")).agg(F.sum("n_tokens").alias("total"))
     totals = totals.select("s", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)

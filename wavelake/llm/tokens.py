@@ -24,8 +24,9 @@ UNSAFE = {
     "word": "[\\x01\\x1c-\\x1f]|<\\|",
 }
 #: Where pieces end, told by a mark: between a letter and a stop, at a lone line end between words, before a space.
+#: Letters are those that stay single letters when composed and lower-cased: without U+00D7, U+00F7 and U+0130.
 CUTS = (
-    ("([A-Za-z\\x{c0}-\\x{24f}])([.,;:!?])", "\\1\1\\2"),
+    ("([A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}])([.,;:!?])", "\\1\1\\2"),
     ("([A-Za-z.,;:!?])\\n([A-Za-z])", "\\1\1\n\1\\2"),
     (" ", "\1 "),
 )
