@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents. A document that an earlier stage rejected isn't
-seen by a later one. Nulls and empty texts pass the filters as any document does, by their scores.
+seen by a later one. Nulls and empty texts pass the filters as any document does, by their scores; a null text stays
+null until it is redacted, where it becomes empty. Texts are whole at any length. Ties and repeated rows are scored
+alike, and the near-duplicate stage keeps one row of them; rows without words it keeps all. Empty tables give no rows
+in every stage. Columns of documents other than COLUMNS are dropped by the first stage, so no name can clash.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by five-word shingles at 0.8 or more."""
-    found = ngram_join.components(docs, words=5, percent=80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.select(*COLUMNS)
+    """One document of each group linked by five-word shingles at 0.8 or more: that of the smallest id.
+
+    Decided row by row: where an id repeats, or is null, each row stays or goes by its own text.
+    """
+    return ngram_join.distinct_rows(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,8 +31,10 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wavelake.llm.common import connected_components, cross_pairs, small_batches, store, trimmed
 
@@ -66,9 +68,10 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(h)
 
 
-def class_of(h: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
+def class_of(h: np.ndarray, salt: int = 0) -> int:
+    """A signed 64-bit name of a set; other salts give other names."""
     with np.errstate(over="ignore"):
+        h = h ^ mix(np.array([salt], np.uint64)) if salt else h
         parts = np.array([mix(h).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h + MIX)), np.uint64(len(h))], np.uint64)
         return int(mix(mix(parts[:1] * MIX + parts[1:2]) + parts[2:3] * MIX).view(np.int64)[0])
 
@@ -85,18 +88,32 @@ def needed(n, m, percent: int):
 
 def _texts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("text").cast("string").alias("text"))
 
 
-def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, cls) of every document; no class where the set is empty."""
+def classes(docs: DataFrame, words: int = WORDS, keys: tuple[str, ...] = ("doc_id",), salt: int = 0) -> DataFrame:
+    """(keys, n, cls, twin) of every document; no class where the set is empty. `twin` is a second name, to tell sets apart that share the first by chance."""
+    d = docs.select(*keys, F.col("text").cast("string").alias("text"))
+    schema = StructType([*d.schema.fields[:-1], *[StructField(c, LongType()) for c in ("n", "cls", "twin")]])
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([class_of(h) if len(h) else None for h in sets], pa.int64())], names=["doc_id", "n", "cls"])
+            sets = [shingles(t, words) for t in b.column(len(keys)).to_pylist()]
+            named = [pa.array([class_of(h, x) if len(h) else None for h in sets], pa.int64()) for x in (salt, salt + (1 << 32))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([len(h) for h in sets], pa.int64()), *named], names=schema.names)
+
+    return d.mapInArrow(trimmed(run), schema)
+
 
-    return _texts(docs).mapInArrow(trimmed(run), "doc_id long, n long, cls long")
+def named_classes(docs: DataFrame, words: int, keys: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """classes(), stored, with a salt under which no two different sets share a name: names of 64 bits meet by chance among some billions of sets."""
+    salt = 0
+    while True:
+        d = store(classes(docs, words, keys, salt), "classes")
+        if d.where("cls is not null").groupBy("cls").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").isEmpty():
+            return d.drop("twin"), salt
+        salt += 1
 
 
 def _packed(bits: int, keys: np.ndarray, parts: dict[str, np.ndarray], cls: np.ndarray, size: np.ndarray):
@@ -136,7 +153,7 @@ def _joined(held, at: int, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[at], kind) for r in held])
 
 
-def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int = 0) -> DataFrame:
     """(cls, n, k, hs): classes that may have a partner, their shared shingles from rare to common, and how many of these lists are short."""
     texts = _texts(docs)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -145,10 +162,10 @@ def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     def post(batches):
         for b in batches:
             own: dict[int, np.ndarray] = {}
-            for t in b.column(1).to_pylist():
+            for t in b.column(0).to_pylist():
                 h = shingles(t, words)
                 if len(h):
-                    own.setdefault(class_of(h), h)
+                    own.setdefault(class_of(h, salt), h)
             sizes = np.array([len(h) for h in own.values()], np.int64)
             if len(own):
                 h = np.concatenate(list(own.values()))
@@ -250,7 +267,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return met.select("x", "y", "nx", "kx", "hx", "ny", "hy").mapInArrow(trimmed(run), "a long, b long")
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int = 0) -> DataFrame:
     """(a, b): links between classes, enough to connect all that are linked.
 
     A posting has `rem`, the shared shingles from its place on. Orders are the same in all classes, so at the first
@@ -258,7 +275,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     not linked, or meet in an earlier list. A list's pivot is the class with the fewest shingles of its own, as the
     origin of a group of near copies has none, and the copies are closer to it than to each other.
     """
-    sets = store(shared(docs, words, percent), "sets")
+    sets = store(shared(docs, words, percent, salt), "sets")
     each = sets.select(F.col("cls").alias("id"), "n", F.size("hs").alias("m"), F.posexplode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("pos", "h"))
     lists = store(each.select("h", "id", "n", (F.col("m") - F.col("pos")).alias("rem"), (F.col("n") - F.col("m")).alias("own")), "lists")
     enough = lambda a, b: f"({percent} * ({a}n + {b}n) + {99 + percent}) div {100 + percent} <= least({a}rem, {b}rem)"
@@ -284,14 +301,42 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     return found.unionByName(store(verified(rest, sets, percent), "links"))
 
 
+def members(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, n, cls, component) of every row: rows of one component are linked directly or over others. Without a set both are null."""
+    d, salt = named_classes(docs, words, keys)
+    comps = store(connected_components(links(docs, words, percent, salt)), "components")
+    found = comps.select(F.col("id").alias("_c"), F.col("component").alias("_m"))
+    return d.join(found, d["cls"] == found["_c"], "left").select(*keys, "n", "cls", F.coalesce("_m", "cls").alias("component"))
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    d = store(classes(docs, words), "classes")
+    d, salt = named_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, ("doc_id",))
     firsts = d.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    comps = store(connected_components(links(docs, words, percent)), "components")
+    comps = store(connected_components(links(docs, words, percent, salt)), "components")
     joined = firsts.join(comps, firsts["cls"] == comps["id"], "left").where("copies > 1 or component is not null")
     named = store(joined.select("cls", "first", F.coalesce("component", "cls").alias("component")), "named")
     roots = named.groupBy("component").agg(F.min("first").alias("root"))
     of = named.join(roots, "component").select(F.col("cls").alias("c"), "root")
     out = d.join(of, d["cls"] == of["c"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("root")), "doc_id").alias("component_id"))
+
+
+def distinct_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, of which one of each group of near copies stays: that of the smallest doc_id, a null id last, then the first in its file.
+
+    Rows are told apart by their place in their files, so repeated rows and ids, and null ids, are decided one by
+    one; docs that aren't read from files are stored first. Rows without words all stay.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    try:
+        placed = docs.select("*", *place)
+        placed.schema  # noqa: B018 - analysed here
+    except AnalysisException:
+        docs = store(docs, "rows")
+        placed = docs.select("*", *place)
+    m = store(members(placed.select(F.col("doc_id").cast("long").alias("_id"), "_file", "_at", "text"), words, percent, ("_id", "_file", "_at")).where("component is not null"), "members")
+    rank = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_file"), F.col("_at"))
+    first = m.groupBy(F.col("component").alias("_g")).agg(F.min(rank).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    gone = m.join(first, m["component"] == first["_g"]).where(~rank.eqNullSafe(F.col("_first"))).select("_file", "_at")
+    return placed.join(gone, ["_file", "_at"], "left_anti").select(*docs.columns)
