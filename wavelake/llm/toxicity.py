@@ -1,11 +1,14 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
-
-A window is compressed with each dictionary, and its margin is the ordinary length less the toxic one. Both
-dictionaries are raw content. Ordinary text is the words that most families of all sampled ordinary documents use,
-each once, up to `ordinary_bytes`; words of equally many families are taken by their hash, so that neither an id, a
-long text nor a source goes first. Toxic text is the words of labelled toxic documents that far more of these than of ordinary ones use (by default 20 times the
-odds). Windows are single words between two guard strings that both dictionaries hold: zstandard looks for no match
-in the last bytes of its input and stores short inputs as they are, which would hide a short window's margin.
+"""Toxicity by compression distance: two zstandard dictionaries, trained on ordinary and on toxic text.
+
+A window is compressed with each dictionary, and its margin is the ordinary length less the toxic one. Both are trained
+by zstandard's own trainer on passages of several words: the ordinary one on the passages of all sampled ordinary
+documents, taken by hash so that neither an id, a long text nor a source goes first; the toxic one on the passages of
+labelled toxic documents around words that far more of these than of ordinary ones use (by default 20 times the
+odds; near copies count once), as most of a toxic document is ordinary text. The toxic dictionary ends with both: what
+is ordinary in a window then costs the same on both sides, and the margin is what toxic passages have in common with it.
+Scored windows are single words between two guard strings that both dictionaries hold: zstandard looks for no match
+in the last bytes of its input and stores short inputs as they are, which would hide a short window's margin. Wider
+windows were measured too (README): their margins drown in those of their other words.
 
 A document's score is a logistic function of its largest margin and of how many windows reach each of several
 margins, fitted on the same labelled documents.
@@ -36,8 +39,12 @@ from wavelake.llm.trees import sigmoid
 
 #: Labelled documents of each class that the fit sees at most.
 LIMIT = 3_000
-#: Bytes of ordinary and of toxic text at most, and odds from which a word counts as toxic text.
-ORDINARY_BYTES, TOXIC_BYTES, ODDS = 110_000, 110_000, 20
+#: Bytes of the two dictionaries at most, and odds from which the passages around a word are toxic text.
+ORDINARY_BYTES, TOXIC_BYTES, ODDS = 65_536, 2_048, 20
+#: Passages of the bounded sample that the ordinary dictionary is trained on at most, lowest hashes first; words to a passage.
+PASSAGES, SPAN = 300_000, 3
+#: The trainer's segment and sample lengths.
+SEGMENT, SAMPLE = 16, 6
 HEAD, TAIL = b"\x02start-of-window\x03", b" \x04the-window-ends\x05"
 MARGINS = (3, 4, 5, 6, 7)
 MEMO = 200_000
@@ -59,7 +66,7 @@ def margins(toxic: bytes, ordinary: bytes):
     params = z.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def compressor(data: bytes):
-        d = z.ZstdCompressionDict(data + TAIL + HEAD, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d = z.ZstdCompressionDict(data + TAIL + HEAD)  # a trained dictionary goes on with its content, untrained text is content alone
         d.precompute_compress(compression_params=params)
         return z.ZstdCompressor(compression_params=params, dict_data=d).compress
 
@@ -108,27 +115,33 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, ordinary_bytes:
     return learn(rows, ordinary_bytes, shift)
 
 
-def commonest(counts: dict[str, int], room: int) -> bytes:
-    """The words of most families that fit into `room` bytes, the commonest last, where matches are cheapest."""
-    chosen, size = [], 0
-    for w in sorted(counts, key=lambda w: (-counts[w], zlib.crc32(w.encode("utf-8", "replace")), w)):
-        one = b" " + w.encode("utf-8", "replace")
-        if size + len(one) > room:
-            if room - size < 8:
-                break
-            continue  # a long word leaves its room to others
-        chosen.append(one)
-        size += len(one)
-    return b"".join(reversed(chosen))
+def trained(passages: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains on the passages; the passages themselves, up to its size, where they are too few for training."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, passages, k=SEGMENT, d=SAMPLE).as_bytes()
+    except (z.ZstdError, ValueError):
+        return b"".join(p + b" " for p in dict.fromkeys(passages) if len(p) < size)[-size:]
+
+
+def passages(texts: list[list[str]], around: set[str] | None = None) -> list[bytes]:
+    """Runs of SPAN words of texts: those that make up a text, or, given words, those in whose middle one of them stands."""
+    half, out = SPAN // 2, []
+    for own in texts:
+        places = range(half, len(own) + half, SPAN) if around is None else (i for i, w in enumerate(own) if w in around)
+        out += [(" " + " ".join(own[max(0, i - half) : i + half + 1])).encode("utf-8", "replace") for i in places]
+    return out
 
 
-def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0) -> dict | None:
+def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0, toxic_bytes: int = TOXIC_BYTES) -> dict | None:
     """fit() from (text, label) rows; `shift` is added to the log odds."""
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
+    texts = [words(t) for t, _ in rows]
     # texts in the order of their families, so that the last family that used a word tells whether it counts again
-    marked = sorted(((family(set(words(t))), i) for i, (t, _) in enumerate(rows)))
+    marked = sorted(((family(set(own)), i) for i, own in enumerate(texts)))
     counts: tuple[dict, dict] = ({}, {})
     n = [0, 0]
     wanted: set[str] = set()
@@ -139,23 +152,26 @@ def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0)
                 continue
             n[k] += one != before
             before = one
-            for w in set(words(rows[i][0])):
-                if last.get(w) != one:
+            for w in set(texts[i]):
+                if last.get(w) != one and (k or w in wanted):
                     last[w] = one
                     counts[k][w] = counts[k].get(w, 0) + 1
         if k == 1:
             wanted = {w for w, c in counts[1].items() if c >= max(3, round(0.004 * n[1]))}
     n0, n1 = n
-    odds = {w: (counts[1][w] + 0.5) / (n1 + 1) / ((counts[0].get(w, 0) + 0.5) / (n0 + 1)) for w in wanted}
-    often = {w: counts[1][w] for w in wanted}
-    ordinary = commonest(counts[0], ordinary_bytes)
+    telling = {w for w in wanted if (counts[1][w] + 0.5) / (n1 + 1) >= ODDS * (counts[0].get(w, 0) + 0.5) / (n0 + 1)}
     del counts, last
-    over = sorted((w for w, v in odds.items() if v >= ODDS), key=lambda w: (-often[w] * math.log(odds[w]), w))
-    model = {"toxic": "".join(" " + w for w in reversed(over)).encode()[-TOXIC_BYTES:], "ordinary": ordinary}
+    plain = passages([t for t, r in zip(texts, rows, strict=True) if not r[1]])
+    if len(plain) > PASSAGES:
+        plain = sorted(plain, key=zlib.crc32)[:PASSAGES]
+    ordinary = trained(plain, ordinary_bytes)
+    toxic = trained(passages([t for t, r in zip(texts, rows, strict=True) if r[1]], telling or None), toxic_bytes)
+    del plain
+    model = {"toxic": ordinary + toxic, "ordinary": ordinary}
     of, memo = margins(model["toxic"], model["ordinary"]), {}
     x = []
-    for t, _ in rows:
-        own = list(dict.fromkeys(words(t)))
+    for all_words in texts:
+        own = list(dict.fromkeys(all_words))
         new = [w for w in own if w not in memo]
         found = dict(zip(new, of(new), strict=True))
         x.append(features(np.array([found[w] if w in found else memo[w] for w in own])))
