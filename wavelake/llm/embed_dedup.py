@@ -3,6 +3,9 @@
 Vectors are rotated by rounds of random signs and fast Hadamard transforms; a hash is the axis, with its sign, that a
 rotated vector comes closest to, and a table's key joins a few hashes. Each vector has its home bucket in every
 table and probes the buckets it nearly fell into. Every candidate pair is verified by its cosine in double precision.
+Buckets grow with the number of vectors: their keys have two bits more than its logarithm, the last hash of a key taking
+only as many axes as are left. How many tables that needs follows from the share of random pairs at the threshold that
+meet in one table, measured before the search, so that `recall` of them meet in some table at any length and size.
 
 Groups of near copies would make all pairs of a bucket, so buckets first give cores: a vector joins the core of the
 smallest pivot (the smallest id of a bucket) within half the threshold's angle. Any two vectors of one core are then
@@ -10,7 +13,7 @@ linked by the triangle inequality and are counted, not paired; only pairs across
 joins are equi-joins that adaptive execution splits, and no group is gathered in a task.
 
 Null, zero and non-finite vectors, and null ids, link with nothing and stay as rows. Ids repeated count as one vector
-for links, and the rows come back as often as they came. Vectors of another length than the most common one
+for links, the smallest of theirs, and the rows come back as often as they came. Lengths may be as large as doubles go. Vectors of another length than the most common one
 are compared with their own length only. Labels and further columns are ignored. Empty tables give no rows.
 """
 
@@ -22,10 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from wavelake.llm.common import connected_components, cross_pairs, store
 
-TABLES, HASHES, PROBES, ROUNDS = 6, 2, 3, 3
+#: Share of pairs at the threshold that must meet, bits of a key beyond the logarithm of the number of vectors, and rounds of a rotation.
+RECALL, SPARE_BITS, ROUNDS = 0.995, 2, 3
+#: Random pairs that the number of tables is measured on.
+MEASURED = 1_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -39,36 +46,60 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
-def keys_of(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 7) -> np.ndarray:
-    """Keys (rows, tables, 1 + probes): the home bucket first, then those whose penalty is least."""
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that no square overflows or vanishes."""
+    return x / np.abs(x).max(axis=1, keepdims=True) if x.size else x
+
+
+def keys_of(x: np.ndarray, tables: int, bits: int, probes: int, seed: int = 7) -> np.ndarray:
+    """Keys (rows, tables, 1 + probes) of `bits` bits: the home bucket first, then those whose penalty is least."""
     n, d0 = x.shape
     d = 1 << max(1, (d0 - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - d0)))
+    sizes = [min(d.bit_length(), bits - i) for i in range(0, bits, d.bit_length())]  # an axis and its sign take log2(2 d) bits
     out = np.empty((n, tables, 1 + probes), np.int64)
     for t in range(tables):
         best, gap = [], []
-        for h in range(hashes):
+        for h, own in enumerate(sizes):
             rng = np.random.default_rng((seed, t, h))
             z = x
             for _ in range(ROUNDS):
                 z = hadamard(z * rng.choice([-1.0, 1.0], d))
+            z = z[:, : 1 << (own - 1)]
             top = np.argsort(-np.abs(z), axis=1, kind="stable")[:, : probes + 1]
             v = np.take_along_axis(z, top, 1)
             best.append(2 * top + (v < 0))
             gap.append((np.abs(v[:, :1]) - np.abs(v)) ** 2)
-        home = np.zeros(n, np.int64)
-        for b in best:
-            home = home * (2 * d) + b[:, 0]
-        out[:, t, 0] = home
+        weights = [1 << sum(sizes[h + 1 :]) for h in range(len(sizes))]
+        home = sum(b[:, 0] * w for b, w in zip(best, weights, strict=True))
+        out[:, t, :] = home[:, None]
         # a probe replaces one hash by its next axes; the smallest losses first
-        weights = [(2 * d) ** (hashes - 1 - h) for h in range(hashes)]
-        other = np.concatenate([home[:, None] + (best[h][:, 1:] - best[h][:, :1]) * weights[h] for h in range(hashes)], axis=1)
+        other = np.concatenate([home[:, None] + (b[:, 1:] - b[:, :1]) * w for b, w in zip(best, weights, strict=True)], axis=1)
         loss = np.concatenate([g[:, 1:] for g in gap], axis=1)
         pick = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-        out[:, t, 1:] = np.take_along_axis(other, pick, 1)[:, :probes]
+        out[:, t, 1 : 1 + pick.shape[1]] = np.take_along_axis(other, pick, 1)
     return out
 
 
+def plan(n: int, size: int, threshold: float, recall: float = RECALL) -> tuple[int, int, int]:
+    """(tables, bits, probes) for n vectors of a length: as many tables as let `recall` of pairs at the threshold meet."""
+    bits = min(62, max(4, (max(n, 2) - 1).bit_length() + SPARE_BITS))
+    probes = max(3, bits // 4)
+    if size == 1:
+        return 1, bits, probes
+    rng = np.random.default_rng(size)
+    x, y = rng.normal(size=(2, MEASURED, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    few = 4
+    k = keys_of(np.vstack([x, y]), few, bits, probes)
+    a, b = k[:MEASURED], k[MEASURED:]
+    met = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).mean()
+    met = min(max(float(met), 0.01), 0.999)
+    return max(few, math.ceil(math.log(1 - recall) / math.log(1 - met))), bits, probes
+
+
 def matrix(column) -> np.ndarray:
     """A list column of equal lengths without nulls as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -83,7 +114,7 @@ def cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            p, q = matrix(b.column(2)), matrix(b.column(3))
+            p, q = scaled(matrix(b.column(2))), scaled(matrix(b.column(3)))
             c = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q)) if len(p) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c, pa.float64())], names=["x", "y", "cos"])
 
@@ -105,24 +136,30 @@ def _by_length(run, at: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part, one for each id."""
-    e = F.col("embedding").cast("array<double>")
+    """(vec_id, embedding) of the vectors that take part; floats stay floats, which halves what is shuffled, and become doubles where they are used."""
+    given = vectors.schema["embedding"].dataType
+    e = F.col("embedding") if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else F.col("embedding").cast("array<double>")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(fine)
 
 
-def links(vectors: DataFrame, threshold: float = 0.9, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Cores (vec_id, core) of all usable vectors, and linked pairs (x, y) across cores."""
-    v = store(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
+    v = store(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    # one row for each length of vectors that occurs
+    plans = {size: plan(n, size, threshold, recall) for size, n in v.groupBy(F.size("embedding")).count().collect()}
 
     def hashed(batches):
         for b in batches:
-            x = matrix(b.column(1))
+            x = scaled(matrix(b.column(1)))
+            if not len(x):
+                continue
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            k = keys_of(x, tables, hashes, probes)
+            tables, bits, probes = plans[x.shape[1]]
+            k = keys_of(x, tables, bits, probes)
             n, width = len(x), tables * (1 + probes)
-            size = x.shape[1] if n else 0
+            size = x.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(b.column(0).to_numpy(), width)),
