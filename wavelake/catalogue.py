@@ -7,13 +7,17 @@ operators; where one text serves both engines it is given once.
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavelake import traces
+from wavelake.functions import states
 from wavelake.functions.expr import Const, Expr, Input, compile_expr
-from wavelake.operators import planes, signals
+from wavelake.operators import calls, hierarchy, planes, signals, transactions
 from wavelake.operators.numbering import numbered
 from wavelake.session import table
 from wavelake.streaming import capture
@@ -34,7 +38,6 @@ both("vc_scan_range", "select count(*) n, min(event_id) first_id from events whe
 both("vc_block_index", "select date_trunc('hour', ts) block, min(ts) start_ts, max(ts) end_ts, count(*) n, count(distinct user_id) n_vars from events group by date_trunc('hour', ts)")
 both("vc_seek_block", "select min(block) block from (select date_trunc('hour', ts) block, min(ts) s from events group by date_trunc('hour', ts)) b where s >= timestamp '2024-01-03 00:30:00'")
 # --- change-only, forward fill, settle, snapshot, pause
-both("vc_change_only", f"select user_id, event_id, event_type from (select *, lag(event_type) over ({W}) p from events) x where p is null or p <> event_type")
 both(
     "vc_ffill_two_inputs",
     f"select event_id, coalesce(last(case when event_type = 'view' then value end, true) over ({W} rows between unbounded preceding and current row), 0.0) a, coalesce(last(case when event_type = 'purchase' then value end, true) over ({W} rows between unbounded preceding and current row), 0.0) b from events",
@@ -56,10 +59,11 @@ both(
     f"select event_id, bit_xor(d) over ({W} rows between unbounded preceding and current row) v from (select event_id, user_id, ts, v ^ coalesce(lag(v) over ({W}), 0) d from (select *, cast(floor(value * 100) as bigint) v from events) x) y",
     "select event_id, cast(floor(value * 100) as bigint) v from events",
 )
+# a signal's wave is the hash of its days' hashes, so that no row gathers a whole signal
 both(
     "vc_wave_dedup",
-    "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(array_join(transform(array_sort(collect_list(struct(ts, event_id, event_type))), x -> x.event_type), ',')) wave from events group by user_id) x group by wave",
-    "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(string_agg(event_type, ',' order by ts, event_id)) wave from events group by user_id) x group by wave",
+    "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(array_join(transform(array_sort(collect_list(struct(d, h))), x -> x.h), ',')) wave from (select user_id, date_trunc('day', ts) d, md5(array_join(transform(array_sort(collect_list(struct(ts, event_id, event_type))), x -> x.event_type), ',')) h from events group by user_id, date_trunc('day', ts)) y group by user_id) x group by wave",
+    "select wave, count(*) n, min(user_id) first_user from (select user_id, md5(string_agg(h, ',' order by d)) wave from (select user_id, date_trunc('day', ts) d, md5(string_agg(event_type, ',' order by ts, event_id)) h from events group by user_id, date_trunc('day', ts)) y group by user_id) x group by wave",
 )
 both("vc_dump_limit", "select event_id from (select event_id, 16 * row_number() over (partition by date_trunc('hour', ts) order by ts, event_id) used from events) x where used <= 48")
 both("vc_scope_blocks", "select c_nationkey scope_id, count(*) n, min(ts) start_ts, max(ts) end_ts, count(distinct user_id) n_vars from events join customer on user_id = c_custkey group by c_nationkey")
@@ -104,31 +108,25 @@ both(
     "select o_orderkey, o_orderkey - coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey), 0) d_id, epoch_us(o_orderdate) - coalesce(lag(epoch_us(o_orderdate)) over (partition by o_custkey order by o_orderdate, o_orderkey), 0) d_time from orders",
 )
 ANCESTRY = "with recursive p as (select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) parent from orders), t(id, depth) as (select o_orderkey, 0 from p where parent is null union all select p.o_orderkey, t.depth + 1 from p join t on p.parent = t.id) select id, depth from t"
-both("txn_ancestry", "select o_orderkey id, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as int) depth from orders", ANCESTRY)
 # --- calls
 DEPTH = "select conv_id, turn, e, s - least(0, min(s) over (partition by conv_id order by turn rows between unbounded preceding and current row)) - case when e = 1 then 1 else 0 end depth from (select conv_id, turn, e, sum(e) over (partition by conv_id order by turn rows between unbounded preceding and current row) s from (select conv_id, turn, case when role = 'user' then 1 else -1 end e from conversations where role in ('user', 'assistant')) a) b"
-both("call_depth", f"select conv_id, turn, e is_enter, cast(depth as bigint) depth from ({DEPTH}) d")
-both("call_tree", f"select conv_id, turn start_turn, case when ne = -1 then nt end end_turn, cast(depth as bigint) depth from (select *, lead(e) over (partition by conv_id, depth order by turn) ne, lead(turn) over (partition by conv_id, depth order by turn) nt from ({DEPTH}) d) x where e = 1")
 # --- hierarchy
 PATHS = "with recursive nodes as (select concat('r', cast(r_regionkey as varchar(20))) id, cast(null as varchar(20)) parent, r_name name from region union all select concat('n', cast(n_nationkey as varchar(20))), concat('r', cast(n_regionkey as varchar(20))), n_name from nation union all select concat('s', cast(s_suppkey as varchar(20))), concat('n', cast(s_nationkey as varchar(20))), s_name from supplier), t(id, path, depth) as (select id, name, 0 from nodes where parent is null union all select n.id, concat(t.path, '.', n.name), t.depth + 1 from nodes n join t on n.parent = t.id)"
-both("hier_paths", f"{PATHS} select id, path, depth from t")
-both("hier_depth_limit", f"{PATHS} select id, path, depth from t where depth < 2")
-both("hier_glob_filter", f"{PATHS} select id, path from t where path rlike '^(ASIA\\\\..*|EUROPE\\\\.G.*)$'", f"{PATHS} select id, path from t where regexp_matches(path, '^(ASIA\\..*|EUROPE\\.G.*)$')")
 both("hier_children", f"{PATHS} select n.parent, count(*) n_children from nodes n join t on n.parent = t.id group by n.parent")
 both("aux_read", "select doc_id, row_number() over (partition by source, lang order by doc_id) - 1 ordinal from (select doc_id, source, lang from documents where source = (select min(source) from documents) and lang = (select min(lang) from documents)) x")
 both("string_lookup", "select n_nationkey str_id, n_name s, count(c_custkey) n from nation left join customer on n_nationkey = c_nationkey group by n_nationkey, n_name")
-both("ext_by_type", "select page_id, octet_length(html) n_bytes from pages where url like 'http%'", "select page_id, cast(octet_length(encode(html)) as integer) n_bytes from pages where url like 'http%'")
 # --- dictionaries, streams, codecs, blobs, graphs
 both("stream_by_kind", "select c_custkey stream_id, c_name name from customer where c_mktsegment = 'BUILDING'")
-both("missing_codecs", "select distinct event_type codec_id from events left anti join (select 'view' c union all select 'click') k on event_type = c", "select distinct event_type codec_id from events where event_type not in ('view', 'click')")
-DEPS = "with recursive e(node, dep) as (select 3, 1 union all select 3, 2 union all select 2, 1 union all select 4, 3), t(node, lvl) as (select 1, 0 union all select e.node, t.lvl + 1 from e join t on e.dep = t.node)"
-both("dep_levels", f"{DEPS} select node, max(lvl) lvl from t group by node")
 both("aux_keys_first_seen", "select source, lang, min(doc_id) pos from documents group by source, lang")
 both("metadata_last_wins", "select source k, max_by(lang, doc_id) v from documents group by source", "select source k, arg_max(lang, doc_id) v from documents group by source")
 both("block_overlap", "select count(*) n from (select date_trunc('hour', ts) b, min(ts) s, max(ts) e from events group by date_trunc('hour', ts)) x where e >= timestamp '2024-01-02 00:00:00' and s <= timestamp '2024-01-03 00:00:00'")
-both("enum_labels", "select e.event_id, l.label from events e left join (select 'view' code, 'V' label union all select 'click', 'C') l on e.event_type = l.code")
 # --- extensions: categories that a trace store has no operator for, added for analysis
 both("tumbling_counts", "select window.start h, count(*) n, count(distinct user_id) users from events group by window(ts, '1 hour')", "select time_bucket(interval '1 hour', ts) h, count(*) n, count(distinct user_id) users from events group by 1")
+both(
+    "sliding_counts",
+    "select window.start h, count(*) n from events group by window(ts, '1 hour', '30 minutes')",
+    "select h, count(*) n from (select time_bucket(interval '30 minutes', ts) h from events union all select time_bucket(interval '30 minutes', ts) - interval '30 minutes' from events) x group by h",
+)
 both("session_windows", f"select user_id, session, min(ts) s, max(ts) e, count(*) n from (select *, sum(fresh) over ({W} rows between unbounded preceding and current row) session from (select *, case when lag(ts) over ({W}) is null or ts > lag(ts) over ({W}) + interval '30' minute then 1 else 0 end fresh from events) x) y group by user_id, session")
 both("rollup_by_scope", "select r_name, n_name, count(*) n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup(r_name, n_name)")
 
@@ -161,7 +159,7 @@ def _derived(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = F.floor(F.col("value") * 100).cast("long")
         inputs = [(F.col("event_type") == "view", v), (F.col("event_type") == "purchase", v)]
-        result = compile_expr(expr, [F.col("in0"), F.col("in1")], width)
+        result = compile_expr(expr, [F.col("in0"), F.col("in1")], width, [31, 31])  # cents fit into 31 bits
         return signals.derived(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", inputs, result)
 
     return run
@@ -173,6 +171,75 @@ def _derived_sql(name: str) -> str:
     return f"select user_id, ts, v from (select *, lag(v) over ({W}) p from (select user_id, ts, event_id, ({text}) & {(1 << width) - 1} v from (select *, {pick('view')} a, {pick('purchase')} b from events) x) y) z where p is null or p <> v"
 
 
+def vc_change_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose type differs from their user's one before."""
+    return signals.change_only(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
+
+
+def vc_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of one signal between two inclusive times, in order."""
+    e = signals.time_range(table(spark, sf_dir, "events"), F.expr("timestamp_ntz '2024-01-05 00:00:00'"), F.expr("timestamp_ntz '2024-01-20 00:00:00'"), "ts")
+    return e.where("user_id = 7").select("event_id", "ts", "value")
+
+
+def txn_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders of the same customer came before each, by following each order's predecessor."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(w).alias("parent"))
+    return transactions.ancestry(edges).select("id", "depth")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    return c.select("conv_id", "turn", (F.col("role") == "user").alias("is_enter"))
+
+
+def call_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as calls (user) and returns (assistant), with their depth."""
+    return calls.depths(_turns(spark, sf_dir), ["conv_id"], ["turn"]).select("conv_id", "turn", F.when(F.col("is_enter"), 1).otherwise(-1).alias("is_enter"), "depth")
+
+
+def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call with its return, null while open, its depth and its parent."""
+    t = calls.tree(_turns(spark, sf_dir), ["conv_id"], "turn")
+    return t.select("conv_id", F.col("turn").alias("start_turn"), F.col("end").alias("end_turn"), "depth", F.col("parent").alias("parent_turn"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    top = table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    mid = table(spark, sf_dir, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name")
+    return top.union(mid).union(table(spark, sf_dir, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey"), "s_name")).union(table(spark, sf_dir, "customer").select(key("c", "c_custkey"), key("n", "c_nationkey"), "c_name"))
+
+
+def hier_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and depths of regions, nations, suppliers and customers."""
+    return hierarchy.paths(_nodes(spark, sf_dir)).select("id", "path", "depth")
+
+
+def hier_depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hier_paths(spark, sf_dir).where("depth < 2")
+
+
+def hier_glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose path fits one of two shell patterns."""
+    p = hier_paths(spark, sf_dir)
+    return p.where(hierarchy.matches(F.col("path"), "ASIA.*,EUROPE.G*.Supplier?0000000[1-9]*")).select("id", "path")
+
+
+def state_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two planes of bits as states, and the number where they have one."""
+    s = states.states(F.col("event_id"), F.col("event_id").bitwiseAND(F.col("user_id")), 8)
+    return table(spark, sf_dir, "events").select("event_id", s.alias("states"), states.number(s).alias("number"))
+
+
+def capture_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a capture writes them that is switched off and on again, and asked for all values once."""
+    stamp = lambda t: datetime.datetime.fromisoformat(t)
+    tasks = spark.createDataFrame([(stamp("2024-01-08 00:00:00"), "off"), (stamp("2024-01-12 00:00:00"), "on"), (stamp("2024-01-20 00:00:00"), "all")], "ts timestamp_ntz, task string")
+    return signals.controlled(table(spark, sf_dir, "events"), tasks, "user_id", "ts", "event_id", "value")
+
+
 def vc_value_at_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of the latest view at or before each purchase."""
     e = table(spark, sf_dir, "events")
@@ -219,7 +286,7 @@ def byte_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vc_settle, from a stream."""
-    settled = capture.run_available(capture.settle(capture.changes(spark, sf_dir), ["user_id"]), "update", ["user_id", "h"])
+    settled = capture.run_available(capture.settle(capture.changes(spark, sf_dir), ["user_id"], late=None), "update", ["user_id", "h"])
     return settled.withColumn("h", F.col("h").cast("timestamp_ntz"))
 
 
@@ -228,11 +295,28 @@ def stream_begin_end_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.run_available(capture.pairs(capture.changes(spark, sf_dir), "view", "purchase"), "append")
 
 
+LEVELS = "with recursive nodes as (select concat('r', r_regionkey) id, cast(null as varchar) parent, r_name name from region union all select concat('n', n_nationkey), concat('r', n_regionkey), n_name from nation union all select concat('s', s_suppkey), concat('n', s_nationkey), s_name from supplier union all select concat('c', c_custkey), concat('n', c_nationkey), c_name from customer), t(id, path, depth) as (select id, name, 0 from nodes where parent is null union all select n.id, concat(t.path, '.', n.name), t.depth + 1 from nodes n join t on n.parent = t.id)"
 PLANS: dict[str, tuple[Callable, str | None]] = {
+    "vc_change_only": (vc_change_only, f"select user_id, event_id, event_type from (select *, lag(event_type) over ({W}) p, row_number() over ({W}) k from events) x where k = 1 or p is distinct from event_type"),
+    "vc_time_range": (vc_time_range, "select event_id, ts, value from events where user_id = 7 and ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-20 00:00:00'"),
+    "txn_ancestry": (txn_ancestry, ANCESTRY.replace(", 0 from p", ", 0::bigint from p")),
+    "call_depth": (call_depth, f"select conv_id, turn, e is_enter, cast(depth as bigint) depth from ({DEPTH}) d"),
+    "call_tree": (call_tree, f"with d as (select conv_id, turn, e, cast(depth as bigint) depth from ({DEPTH}) q) select x.conv_id, x.turn start_turn, case when ne = -1 then nt end end_turn, depth, (select max(y.turn) from d y where y.conv_id = x.conv_id and y.e = 1 and y.depth = x.depth - 1 and y.turn < x.turn) parent_turn from (select *, lead(e) over (partition by conv_id, depth order by turn) ne, lead(turn) over (partition by conv_id, depth order by turn) nt from d) x where e = 1"),
+    "hier_paths": (hier_paths, f"{LEVELS} select id, path, depth from t"),
+    "hier_depth_limit": (hier_depth_limit, f"{LEVELS} select id, path, depth from t where depth < 2"),
+    "hier_glob_filter": (hier_glob_filter, f"{LEVELS} select id, path from t where path glob 'ASIA.*' or path glob 'EUROPE.G*.Supplier?0000000[1-9]*'"),
+    "state_packing": (
+        state_packing,
+        "select event_id, s states, case when regexp_matches(s, '^[01]+$') then list_sum(list_transform(range(8), lambda i: (case when s[8 - i] = '1' then 1 else 0 end) << i))::bigint end \"number\" from (select event_id, array_to_string(list_transform(range(7, -1, -1), lambda i: case when ((event_id & user_id) >> i) & 1 = 0 then (case when (event_id >> i) & 1 = 1 then '1' else '0' end) when (event_id >> i) & 1 = 1 then 'X' else 'Z' end), '') s from events) x",
+    ),
+    "capture_controlled": (
+        capture_controlled,
+        "select user_id, ts, value from events where not (ts > timestamp '2024-01-08' and ts <= timestamp '2024-01-12') union all select user_id, timestamp '2024-01-12', arg_max(value, event_id) from events where ts <= timestamp '2024-01-12' group by user_id union all select user_id, timestamp '2024-01-20', arg_max(value, event_id) from events where ts <= timestamp '2024-01-20' group by user_id",
+    ),
     "vc_flush_blocks": (vc_flush_blocks, "select block, count(*) n, min(event_id) first_id, max(event_id) last_id from (select event_id, cast(floor((row_number() over (order by ts, event_id) - 1) / 1000) as bigint) block from events) x group by block"),
     "intern_dictionary": (intern_dictionary, "select s, row_number() over (order by pos) str_id from (select event_type s, min(event_id) pos from events group by event_type) x"),
     "aux_ordinals": (aux_ordinals, "select source owner, doc_id, row_number() over (partition by source order by doc_id) - 1 ordinal from documents"),
-    "byte_split": (byte_split, None),
+    "byte_split": (byte_split, "select vec_id, array_to_string(list_transform([24, 16, 8, 0], lambda s: array_to_string(list_transform(embedding, lambda x: lpad(to_hex(((x::float::bit::integer::bigint & 4294967295) >> (24 - s)) & 255), 2, '0')), '')), '') planes from embeddings"),
     "stream_settle": (stream_settle, SQL["vc_settle"][1]),
     "stream_begin_end_pair": (stream_begin_end_pair, SQL["txn_begin_end_pair"][0]),
     "vc_value_at_asof": (vc_value_at_asof, "select p.event_id, v.value view_value from (select * from events where event_type = 'purchase') p asof join (select * from events where event_type = 'view') v on p.user_id = v.user_id and p.ts >= v.ts"),
@@ -242,18 +326,18 @@ PLANS: dict[str, tuple[Callable, str | None]] = {
 
 
 def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    # tables are handed over as DataFrames, so that the session's own views stay as they are
+    text = re.sub(rf"\b(from|join) ({'|'.join(TABLES)})\b", r"\1 {\2}", SQL[name][0])
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if t in SQL[name][0]:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(SQL[name][0])
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _sql(n) for n in SQL} | {n: _derived(n) for n in DERIVED} | {n: f for n, (f, _) in PLANS.items()}
+    return {n: _sql(n) for n in SQL} | {n: _derived(n) for n in DERIVED} | {n: f for n, (f, _) in (PLANS | traces.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: other or text for n, (text, other) in SQL.items()} | {n: _derived_sql(n) for n in DERIVED} | {n: s for n, (_, s) in PLANS.items() if s}
+    return {n: other or text for n, (text, other) in SQL.items()} | {n: _derived_sql(n) for n in DERIVED} | {n: s for n, (_, s) in (PLANS | traces.QUERIES).items() if s}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 
@@ -33,13 +34,18 @@ def topo_order(edges: dict) -> list:
     if cycle := find_cycle(edges):
         raise ValueError(f"cycle: {cycle}")
     nodes = set(edges) | {d for v in edges.values() for d in v}
-    left, order = {n: set(edges.get(n, ())) for n in nodes}, []
-    while left:
-        ready = min(n for n, d in left.items() if not d)
-        order.append(ready)
-        del left[ready]
-        for d in left.values():
-            d.discard(ready)
+    left, users = {n: len(set(edges.get(n, ()))) for n in nodes}, {n: [] for n in nodes}
+    for n, own in edges.items():
+        for d in set(own):
+            users[d].append(n)
+    ready, order = [n for n, k in left.items() if not k], []
+    heapq.heapify(ready)
+    while ready:
+        order.append(heapq.heappop(ready))
+        for n in users[order[-1]]:
+            left[n] -= 1
+            if not left[n]:
+                heapq.heappush(ready, n)
     return order
 
 

@@ -41,6 +41,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "wavelake-checkpoints"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get()

@@ -160,8 +160,8 @@ class Node:
 class Tree:
     """A hierarchy: nodes in depth-first order. Ids of variables and streams count from 1 in each tree."""
 
-    def __init__(self, number: int = 1, kind: str = "DESIGN", name: str = ""):
-        self.number, self.kind, self.name = number, kind, name
+    def __init__(self, number: int = 1, kind: str = "DESIGN", name: str = "", prefix: str = ""):
+        self.number, self.kind, self.name, self.prefix = number, kind, name, prefix
         self.nodes: list[Node] = []
         self.open: list[int] = []
         self.count = {"var": 0, "stream": 0}
@@ -182,16 +182,16 @@ class Tree:
     def add_var(self, name: str, signal_type: int, direction: str = "IN", alias: int = 0, file: str = "", line: int = 0, driver: tuple[str, int] | None = None) -> int:
         self.count["var"] += 1
         self._add("var", name, {"id": self.count["var"], "type": signal_type, "direction": direction, "alias": alias, "file": file, "line": line})
-        for k, v in zip(("driver_file", "driver_line"), driver or (), strict=False):
-            self.add_attr(k, str(v))
+        for k, v in zip(("driver.file", "driver.line"), driver or (), strict=False):
+            self.add_attr(self.prefix + k, str(v))
         return self.count["var"]
 
     def add_stream(self, stream: int, name: str, file: str = "", line: int = 0) -> int:
         self.count["stream"] += 1
         self._add("stream", name, {"id": self.count["stream"], "type": stream})
         if file:
-            self.add_attr("src_file", file)
-            self.add_attr("src_line", str(line))
+            self.add_attr(self.prefix + "src.file", file)
+            self.add_attr(self.prefix + "src.line", str(line))
         return self.count["stream"]
 
     def add_attr(self, key: str, value, kind: int | None = None) -> None:
@@ -353,13 +353,13 @@ class TraceFile:
 
     @staticmethod
     def _frame(f, at: int) -> tuple[int, int, bytes] | None:
-        f.seek(at)
-        head = f.read(HEAD.size)
-        if len(head) < HEAD.size:
+        f.seek(0, 2)
+        total = f.tell()
+        if at + HEAD.size > total:
             return None
-        kind, flags, size = HEAD.unpack(head)
-        raw = f.read(size - HEAD.size)
-        return (kind, flags, raw) if len(raw) == size - HEAD.size else None
+        f.seek(at)
+        kind, flags, size = HEAD.unpack(f.read(HEAD.size))
+        return (kind, flags, f.read(size - HEAD.size)) if HEAD.size <= size <= total - at else None
 
     def _walk(self, f):
         """(kind, flags, offset, length) of each whole block, read by its frame alone; a cut-off end ends the file, unknown kinds are passed over."""

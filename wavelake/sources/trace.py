@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from wavelake.sources import codecs, txns, waves
+from wavelake.sources import calls, codecs, txns, waves
 from wavelake.sources.container import MIXED, TraceFile
 from wavelake.sources.wire import ARRAY, FIELDS, Cursor
 from wavelake.sources.writer import TraceWriter
@@ -49,6 +49,8 @@ SCHEMAS = {
     "metadata": "trace string, stream_type_id long, pos int, key string, type string, value string",
     "aux": "trace string, owner long, key long, ordinal long, block long, length long, payload binary",
     "ext": "trace string, block long, ext_type string, ext_version int, payload binary",
+    "signatures": "trace string, sig_stream long, func_id long, name string, arg_types array<string>, ret_type string",
+    "call_events": "trace string, call_stream long, block long, seq long, is_enter boolean, time long, func_id long, name string, args string, ret long",
     "derived": "trace string, var_id long, name string, bit_width int, inputs array<long>, code binary, materialized boolean",
 }
 #: What metadata types are called here, by code.
@@ -313,6 +315,8 @@ DESCRIBED = {
     "metadata": _metadata,
     "aux": _aux,
     "ext": _ext,
+    "signatures": lambda t, *_: calls.signature_rows(t),
+    "call_events": lambda t, *_: calls.event_rows(t),
     "derived": lambda t, *_: [(x["var_id"], x["name"], x["bit_width"], x["inputs"], x["code"], x["materialized"]) for x in t.derived()],
 }
 
@@ -333,7 +337,7 @@ class Writing(DataSourceWriter):
         self.rows = int(options.get("block_rows", 100_000))
         self.schemas = {int(k): v for k, v in json.loads(options.get("schemas", "{}")).items()}
         self.names = {int(k): v for k, v in json.loads(options.get("names", "{}")).items()}
-        given = {k: options[k] for k in ("compressor", "compress_waves", "column_layout", "codec_prefix") if options.get(k)}
+        given = {k: options[k] for k in ("compressor", "compress_waves", "column_layout", "prefix") if options.get(k)}
         flags = {k: options[k].lower() == "true" for k in ("compress_time_table", "seekable") if k in options}
         numbers = {k: int(options[k]) for k in ("timescale_exp", "timezero") if k in options}
         self.options, self.codec = given | flags | numbers, options.get("codec")
@@ -380,7 +384,9 @@ class Writing(DataSourceWriter):
                 kind = of(r, "encoding") or kind
                 if kind is None:
                     raise ValueError(f"signal {r['var_id']} has no value at {r['time']}")
-                width = of(r, "bit_width") or {"2STATE": 63, "REAL": 64, "STRING": 0}.get(kind) or len(value)
+                width = of(r, "bit_width")
+                if width is None:
+                    width = {"2STATE": 63, "REAL": 64, "STRING": 0}[kind] if kind in ("2STATE", "REAL", "STRING") else len(value)
                 if known.setdefault(r["var_id"], (kind, width)) != (kind, width):
                     raise ValueError(f"signal {r['var_id']} has two types")
                 w.vars[r["var_id"]] = (kind, width)

@@ -31,8 +31,8 @@ class VcBlock:
 class TxnBlock:
     """Records of a block, in the order they come."""
 
-    def __init__(self, intern):
-        self.records, self.intern = [], intern
+    def __init__(self, intern, prefix: str = ""):
+        self.records, self.intern, self.prefix = [], intern, prefix
 
     def full(self, stream: int, record: int, txn: int, start: int, end: int, parent: int = 0, attrs=(), origin: dict | None = None) -> None:
         """A whole transaction; `attrs` are (field number, field type, value). Origin entries (file, line, component) become META records."""
@@ -58,21 +58,22 @@ class TxnBlock:
     def _origin(self, txn: int, origin: dict | None) -> None:
         for k, v in (origin or {}).items():
             if v not in ("", None):
-                self.meta(txn, f"origin_{k}", str(v))
+                self.meta(txn, f"{self.prefix}origin.{k}", str(v))
 
 
 class TraceWriter:
     """A trace file. `compressor` (zlib, zstd) compresses whole blocks; without it, `compress_time_table`, `compress_waves`
     (zlib, lz4) and `seekable` work inside value-change blocks. `scope_grouped` writes one block for each scope. `path`
-    may be an open binary file; one that can't seek gets no index offset, and readers then walk its blocks."""
+    may be an open binary file; one that can't seek gets no index offset, and readers then walk its blocks. Built-in codec ids
+    and well-known keys (of files, lines, origins and profiles) get `prefix`, such as a reversed domain, before them."""
 
-    def __init__(self, path, timescale_exp: int = -9, timezero: int = 0, compressor: str | None = None, compress_time_table: bool = False, compress_waves: str | None = None, seekable: bool = False, scope_grouped: bool = False, column_layout: str = "row", delta: bool = True, codec_prefix: str = "", profile_key: str = "profile"):
+    def __init__(self, path, timescale_exp: int = -9, timezero: int = 0, compressor: str | None = None, compress_time_table: bool = False, compress_waves: str | None = None, seekable: bool = False, scope_grouped: bool = False, column_layout: str = "row", delta: bool = True, prefix: str = ""):
         if column_layout not in LAYOUTS:
             raise ValueError(f"no layout {column_layout}")
         self.f, self.owned = (path, False) if hasattr(path, "write") else (open(path, "wb"), True)
         self.compressor, self.layout, self.delta, self.grouped = compressor, column_layout, delta, scope_grouped
         self.sections = {"times_zlib": compress_time_table, "waves": compress_waves, "seekable": seekable}
-        self.prefix, self.profile_key = codec_prefix, profile_key
+        self.prefix = f"{prefix}." if prefix else ""
         self.strings, self.types, self.index, self.metadata = Strings(), Types(), Index(), []
         self.vars: dict[int, tuple[str, int]] = {}
         self.scopes: dict[int, int] = {}
@@ -115,7 +116,7 @@ class TraceWriter:
     @contextmanager
     def hierarchy(self, number: int = 1, kind: str = "DESIGN", name: str = ""):
         """A tree to fill; written at the end of the block."""
-        tree = Tree(number, kind, name)
+        tree = Tree(number, kind, name, self.prefix)
         yield tree
         places = {i: self.scope_count + k for k, i in enumerate([i for i, n in enumerate(tree.nodes) if n.node == "scope"], 1)}
         self.scope_count += len(places)
@@ -140,7 +141,7 @@ class TraceWriter:
         yield b
         if own:
             changes = {v: ([(start, b.initial[v])] if v in b.initial else []) + sorted(b.changes.get(v, []), key=lambda x: x[0]) for v in {*b.changes, *b.initial}}
-            name = f"{self.prefix}.{codec}" if self.prefix and codec.startswith("core.") else codec
+            name = self.prefix + codec if codec.startswith("core.") else codec
             payload = uvarint(self.intern(name)) + own.encode(start, changes, self.signal_types())
             end = max([start, *(t for c in changes.values() for t, _ in c)])
             self.index.vc.append((start, end, self._write(block("VC", waves.STRUCTURED, payload))))
@@ -155,7 +156,7 @@ class TraceWriter:
 
     @contextmanager
     def txn_block(self, start: int, stream: int | None = None):
-        b = TxnBlock(self.intern)
+        b = TxnBlock(self.intern, self.prefix)
         yield b
         schemas = {i: [f[1] for f in fields] for i, (_, fields) in self.types.records.items()}
         payload, flags, end = txns.encode(start, b.records, schemas, self.layout, self.compressor, self.delta)
@@ -185,10 +186,10 @@ class TraceWriter:
     def add_stream_profile(self, stream: int, profile: str) -> None:
         own = self.types.streams[stream]["metadata"]
         for k, t, v in own:
-            if k == self.profile_key and t & ARRAY:
+            if k == f"{self.prefix}profile" and t & ARRAY:
                 v.append(profile)
                 return
-        own.append((self.profile_key, ARRAY | STR, [profile]))
+        own.append((f"{self.prefix}profile", ARRAY | STR, [profile]))
 
     def declare_dependencies(self, stream: int, inputs: list[int]) -> None:
         """A cycle is a ValueError and nothing is declared then."""

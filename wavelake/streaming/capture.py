@@ -10,41 +10,69 @@ from wavelake.session import shared_path, table
 
 
 def changes(spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 100) -> DataFrame:
-    """A folder's change files as a stream; event time is a timestamp with zone, as watermarks need."""
+    """A table's change files as a stream, whether the table is one file or a folder of them; event time is a timestamp with zone, as watermarks need."""
+    own = f"{folder.rstrip('/')}/{name}.parquet"
     schema = table(spark, folder, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    rows = stream.parquet(own) if whole else stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def settle(rows: DataFrame, keys: list[str], step: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """The last value of each key and time step, with how many changes there were; a step is dropped from the state once the watermark has passed it."""
-    return rows.withWatermark("ts", late).groupBy(*keys, F.window("ts", step).alias("w")).agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("n")).select(*keys, F.col("w.start").alias("h"), "value", "n")
+def settle(rows: DataFrame, keys: list[str], step: str = "1 hour", late: str | None = "1 day") -> DataFrame:
+    """The last value of each key and time step, with how many changes there were. A step leaves the state once the watermark has passed it, and later rows are dropped; without `late` there is no watermark and nothing is dropped, which suits bounded input."""
+    timed = rows.withWatermark("ts", late) if late else rows
+    return timed.groupBy(*keys, F.window("ts", step).alias("w")).agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("n")).select(*keys, F.col("w.start").alias("h"), "value", "n")
 
 
-def pairs(rows: DataFrame, begin: str, end: str) -> DataFrame:
+def pairs(rows: DataFrame, begin: str, end: str, late: str | None = None) -> DataFrame:
     """(event_id, end_id): each user's begin whose next begin or end is an end, also over micro-batches.
 
-    The state is one open begin for each user; changes must arrive in order from batch to batch, within one they are sorted.
+    The state is one open begin for each user; changes must arrive in order from batch to batch, within one they are
+    sorted. With `late`, an open begin is given up once the watermark is that far beyond it.
     """
 
     def step(key, frames, state):
         import pandas as pd
 
-        got = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        open_id, out = state.get[0] if state.exists else None, []
-        for kind, event in zip(got["event_type"], got["event_id"], strict=True):
-            if kind == end and open_id is not None:
-                out.append((open_id, event))
-            open_id = int(event) if kind == begin else None
-        if open_id is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((open_id,))
-        yield pd.DataFrame(out, columns=["event_id", "end_id"]).astype("int64")
-
-    wanted = rows.where(F.col("event_type").isin(begin, end)).select("user_id", "ts", "event_id", "event_type")
-    return wanted.groupBy("user_id").applyInPandasWithState(step, "event_id long, end_id long", "open_id long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        got = pd.concat(list(frames)).sort_values(["ts", "event_id"])[["event_type", "event_id"]]
+        if state.exists:
+            got = pd.concat([pd.DataFrame({"event_type": [begin], "event_id": [state.get[0]]}), got])
+        paired = (got["event_type"] == begin) & (got["event_type"].shift(-1) == end)
+        out = pd.DataFrame({"event_id": got["event_id"], "end_id": got["event_id"].shift(-1)})[paired].astype("int64")
+        if got["event_type"].iloc[-1] == begin:
+            state.update((int(got["event_id"].iloc[-1]),))
+            if late:
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1 + int(pd.Timedelta(late).total_seconds() * 1000))
+        elif state.exists:
+            state.remove()
+        yield out
+
+    timed = rows.withWatermark("ts", late) if late else rows
+    wanted = timed.where(F.col("event_type").isin(begin, end)).select("user_id", "ts", "event_id", "event_type")
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return wanted.groupBy("user_id").applyInPandasWithState(step, "event_id long, end_id long", "open_id long", "append", timeout)
+
+
+def options(arguments: list[str], prefix: str = "capture_") -> dict:
+    """Capture options from simulator arguments such as +capture_flush_interval=1000: file, two_state, flush_interval, compress, scope_grouped, signals; others are left out."""
+    out: dict = {"two_state": False, "flush_interval": 100_000, "compress": "zlib", "scope_grouped": False, "signals": ""}
+    for a in arguments:
+        name, _, value = a.removeprefix("+").partition("=")
+        name = {"2state": "two_state"}.get(name.removeprefix(prefix), name.removeprefix(prefix)) if name.startswith(prefix) else ""
+        if name in ("two_state", "scope_grouped"):
+            out[name] = True
+        elif name == "flush_interval" and value:
+            out[name] = int(value)
+        elif name == "compress":
+            out[name] = None if value == "none" else "zlib"
+        elif name in ("file", "signals") and value:
+            out[name] = value
+    return out
 
 
 def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
