@@ -1,5 +1,6 @@
 """Each operator against brute force, a library or a round trip, on small tables with awkward rows."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -88,7 +89,7 @@ def test_pii(spark, odd):
     for r in pii.detect(both).collect():
         assert r.base_sha256 == hashlib.sha256(base_spans(texts[r.doc_id]).encode()).hexdigest()
     marked = {r.doc_id: r.text for r in pii.redact(odd).collect()}
-    assert marked[13] == "mail [EMAIL][EMAIL] or [IP].[IP] or [PHONE], [CARD]" or "[PHONE], [CARD]" in marked[13]
+    assert marked[13] == "mail [EMAIL]@d.e or [IP].[IP] or [PHONE], [CARD]"
 
 
 def brute_components(sets, percent):
@@ -188,7 +189,12 @@ def test_warc(spark):
     assert [r.url_key for r in rows] == sorted(r.url_key for r in rows)
     assert (got[1].record_type, got[1].refers_to, got[1].payload_bytes) == ("revisit", 2, 5)
     assert got[2].record_type == "response" and got[3].refers_to == 4 and got[4].payload_bytes == 0
-    assert got[5].payload_digest == "RJ5MZTY4QVGH6SAFSKTVFCVOV5D6FCBA" or len(got[5].payload_digest) == 32
+    for r in rows:
+        body = next(h for p, _, h in pages if p == r.page_id) or ""
+        assert (r.payload_digest, r.payload_bytes) == (base64.b32encode(hashlib.sha1(body.encode()).digest()).decode(), len(body.encode()))
+    assert [(r.url_key, r.captured_at, r.page_id is not None, r.page_id or 0) for r in rows] == sorted((r.url_key, r.captured_at, r.page_id is not None, r.page_id or 0) for r in rows)
+    _, none = warc.archive_and_index(spark.createDataFrame(pages, "page_id long, url string, html string").limit(0))
+    assert none.count() == 0
 
 
 def test_loser_tree():
@@ -236,12 +242,3 @@ def test_the_limit_keeps_the_prior(spark, module, label, share):
     d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, f"doc_id long, {label} int")
     got = np.mean([r.score for r in module.classify(d, t, limit=100).collect()])
     assert abs(got - true) < 0.08
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, SF).collect()
-    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
-    kept = {r.doc_id for r in out}
-    assert 0.5 * docs < len(kept) <= docs

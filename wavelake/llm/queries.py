@@ -56,7 +56,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = warc.archive_and_index(table(spark, sf_dir, "pages"), least_bytes=0)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Pairs (a, b) in both directions and their components: (id, the smallest id reachable).
+REACH = "reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)"
+SQL = {
+    "op4_ngram_join": f"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+        s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))) end s from w),
+        p as materialized (select doc_id, len(s) n, unnest(s) h from s),
+        links as materialized (select x.doc_id a, y.doc_id b from p x join p y on x.h = y.h and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        {REACH},
+        c as (select a, min(b) m from reach group by a)
+        select s.doc_id, len(s.s)::bigint n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) component_id from s left join c on s.doc_id = c.a""",
+    "op5_embedding_dedup": f"""
+        with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links as materialized (select x.vec_id a, y.vec_id b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.9),
+        {REACH},
+        c as (select a, min(b) m from reach group by a), n as (select a, count(*) n from links group by a)
+        select vec_id, coalesce(n.n, 0)::bigint n_links, least(vec_id, coalesce(c.m, vec_id)) component_id, vec_id = least(vec_id, coalesce(c.m, vec_id)) kept from embeddings left join c on vec_id = c.a left join n on vec_id = n.a""",
+    "op9_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint n, sha1(coalesce(html, '')) h from pages)
+        select page_id, n payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') payload_digest,
+        case when page_id = max(page_id) over (partition by h) then 'response' else 'revisit' end record_type,
+        case when page_id <> max(page_id) over (partition by h) then max(page_id) over (partition by h) end refers_to from p""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are held against brute force in tests/llm."""
-    return {}
+    return dict(SQL)

@@ -7,7 +7,8 @@ execution splits where one payload is hot.
 
 Reading parses each archive alone into a run of captures sorted by URL key, time and page. Runs are stored, dealt by
 ranges of that key (time and page are part of it, so a hot host is split too) and each range is merged by a loser tree
-over its runs, which gives capture histories in global order.
+over its parts of the runs, which gives capture histories in global order. Dealing keeps a run's order, so its parts
+aren't sorted again; a part that came in pieces out of order, as after a lost executor, is told by its keys and sorted.
 
 Nulls: null html is an empty payload, a null url has an empty key, a null page_id has none in its record and is never
 the one revisited. Rows repeating a page_id and its payload are all responses if that id is the largest. Empty tables
@@ -17,6 +18,7 @@ give no archives and an empty index. Long payloads are whole. Further columns ar
 from __future__ import annotations
 
 import gzip
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -184,6 +186,9 @@ def merge(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 own.setdefault(row[7], []).append((order(row), row))
+        for run in own.values():
+            if any(b[0] < a[0] for a, b in pairwise(run)):
+                run.sort()
         out = []
         for _, row in LoserTree([own[k] for k in sorted(own)]):
             out.append(row)
@@ -194,8 +199,7 @@ def merge(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], names=NAMES)
 
     keys = ["url_key", "captured_at", "page_id", "archive", "ordinal"]
-    dealt = captures.repartitionByRange(n, *keys).sortWithinPartitions("archive", *keys[:3], "ordinal")
-    return dealt.mapInArrow(merged, COLUMNS)
+    return captures.repartitionByRange(n, *keys).mapInArrow(merged, COLUMNS)
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> tuple[str, DataFrame]:
