@@ -111,7 +111,9 @@ def brute_components(sets, percent):
     return {k: find(k) for k in up}
 
 
-def test_ngram_join(spark):
+@pytest.mark.parametrize("slot", [256, 7])
+def test_ngram_join(spark, monkeypatch, slot):
+    monkeypatch.setattr(ngram_join, "SLOT", slot)
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 400, 120).tolist() for _ in range(6)]
     docs = []

@@ -14,10 +14,12 @@ equal have one class; a class stands for all its copies from the first step on.
 3. Each short list first pairs its members with one pivot. Those pairs are verified, and linked classes get a common
    label; lists that still hold different labels do so again with a pivot of another label. What then still differs is
    paired across labels. A list of one large group of
-   near copies thus costs one pair for each member, while no pair that could join two groups goes untested.
-4. A query class and a block of its candidates are verified together: the candidates' hits in the query's short lists
-   are heap-merged into counts, those below T less the number of long lists are dropped, and the long lists are
-   probed by binary search.
+   near copies thus costs one pair for each member, while no pair that could join two groups goes untested. Long lists
+   are dealt over slots, to each of which the pivot goes.
+4. A query class and a block of its candidates are verified together: the short lists, cut down to these candidates, are
+   heap-merged into counts, those below T less the number of long lists are dropped, and the long lists are
+   probed by binary search. The cut-down lists come from the candidates' own sets, as a pivot meets them in some of its
+   lists only.
 5. Links become components by star contraction, on executors.
 
 Nulls: a null or empty text, or one of white space, has no set, links with nothing and is its own component; a null
@@ -43,6 +45,8 @@ WORDS, PERCENT = 4, 85
 RANGE_CHARS = 8_000_000
 #: Candidates of one query class that are verified together.
 CANDIDATES = 512
+#: Members of a list that stand together: longer lists are dealt over slots, so that no task gets one whole.
+SLOT = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -277,21 +281,25 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int
     """
     sets = store(shared(docs, words, percent, salt), "sets")
     each = sets.select(F.col("cls").alias("id"), "n", F.size("hs").alias("m"), F.posexplode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("pos", "h"))
-    lists = store(each.select("h", "id", "n", (F.col("m") - F.col("pos")).alias("rem"), (F.col("n") - F.col("m")).alias("own")), "lists")
+    each = each.select("h", "id", "n", (F.col("m") - F.col("pos")).alias("rem"), (F.col("n") - F.col("m")).alias("own"))
+    long = each.groupBy("h").count().where(F.col("count") > SLOT).select("h", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
+    dealt = each.join(long, "h", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    lists = store(dealt.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")), "lists")
+    slots = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
     enough = lambda a, b: f"({percent} * ({a}n + {b}n) + {99 + percent}) div {100 + percent} <= least({a}rem, {b}rem)"
 
     def star(rows: DataFrame, pivot_of: DataFrame) -> DataFrame:
         """Pairs of each list's pivot, the first of pivot_of's rows, with the rows of other groups."""
-        first = pivot_of.groupBy("h").agg(F.min_by(F.struct("id", "n", "rem", "grp"), F.struct("own", "id")).alias("p"))
-        pivots = first.select("h", F.col("p.id").alias("x"), F.col("p.n").alias("pn"), F.col("p.rem").alias("prem"), F.col("p.grp").alias("pgrp"))
-        met = rows.join(pivots, "h").where("grp <> pgrp").where(enough("", "p"))
+        first = pivot_of.groupBy("h").agg(F.min_by(F.struct("id", "n", "rem", "grp"), F.struct("own", "id")).alias("p"), F.max("slots").alias("slots"))
+        pivots = first.select("h", slots, F.col("p.id").alias("x"), F.col("p.n").alias("pn"), F.col("p.rem").alias("prem"), F.col("p.grp").alias("pgrp"))
+        met = rows.join(pivots, ["h", "slot"]).where("grp <> pgrp").where(enough("", "p"))
         return met.select("x", F.col("id").alias("y")).distinct()
 
     def labelled(found: DataFrame) -> DataFrame:
         labels = connected_components(found).withColumnRenamed("id", "l")
-        rows = lists.join(labels, lists["id"] == labels["l"], "left").select("h", "id", "n", "rem", "own", F.coalesce("component", "id").alias("grp"))
-        mixed = rows.groupBy("h").agg(F.min_by("grp", F.struct("own", "id")).alias("lead"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        return store(rows.join(mixed, "h"), "mixed")
+        rows = lists.join(labels, lists["id"] == labels["l"], "left").select("h", "id", "n", "rem", "own", "slot", "slots", F.coalesce("component", "id").alias("grp"))
+        mixed = rows.groupBy("h").agg(F.min_by("grp", F.struct("own", "id")).alias("lead"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("slots").alias("slots")).where("lo <> hi").select("h", "lead", slots)
+        return store(rows.join(mixed, ["h", "slot"]), "mixed")
 
     alone = lists.withColumn("grp", F.col("id"))
     found = store(verified(star(alone, alone), sets, percent), "links")
