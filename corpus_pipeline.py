@@ -59,7 +59,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No stage's decisions are expressible in SQL (fitted models, hashed joins, packing); tests/llm hold run() against a plain version.
+#: No stage's decisions are expressible in SQL (fitted models, hashed joins, packing); tests/llm/test_plain_versions.py holds each stage and run() against a plain version.
 ORACLE_SQL = None
 
 

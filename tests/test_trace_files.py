@@ -216,6 +216,39 @@ def test_codecs():
         codecs.encode_planes(0, {1: [(0, "x")]}, {1: ("STRING", 0)})
 
 
+def test_a_codecs_life(tmp_path):
+    """Opened at its first block, encoding each, finalized while blobs can be written, closed at the end; replaced by a codec of the same id."""
+    steps = []
+
+    class Counting(codecs.Session):
+        def encode(self, start, changes, types):
+            steps.append(("encode", start))
+            return codecs.encode_planes(start, changes, types)
+
+        def finalize(self):
+            steps.append(("finalize", self.store.write_aux(9, 0, str(len(steps)).encode())))
+
+        def close(self):
+            steps.append(("close", None))
+
+    codecs.register(codecs.Codec("own.counting"))
+    own = codecs.register(codecs.Codec("own.counting", session=Counting, decode=codecs.decode_planes, capabilities=codecs.Capability.LOSSLESS | codecs.Capability.RANDOM_ACCESS))
+    try:
+        path = str(tmp_path / "a.trace")
+        with TraceWriter(path) as w:
+            for start in (0, 10):
+                with w.vc_block(start, "own.counting") as b:
+                    b.add_change(1, start, 1)
+        assert steps == [("encode", 0), ("encode", 10), ("finalize", 0), ("close", None)]
+        t = TraceFile(path)
+        assert t.read_blobs(9, 0) == [b"2"] and codecs.Capability.RANDOM_ACCESS in own.capabilities
+        blocks = [at for kind, _, at, _ in t.blocks if kind == "VC"]
+        read = lambda registry: [r for at in blocks for r in trace.changes_of(t, "a", at, trace.Wanted({}), registry)]
+        assert sum(len(b) for b in read(codecs.REGISTRY)) == 2 and read({}) == []
+    finally:
+        codecs.REGISTRY.pop("own.counting")
+
+
 def test_calls(tmp_path):
     path = str(tmp_path / "c.trace")
     with TraceWriter(path) as w:

@@ -29,15 +29,35 @@ class Capability(enum.IntFlag):
     MATERIALIZED = 16
 
 
+class Session:
+    """A codec's work in one file: encode for each block, then finalize, while descriptions can still be written, then close. `store` is the file's writer: intern, write_aux, add_trace_metadata."""
+
+    def __init__(self, codec: Codec, store):
+        self.codec, self.store = codec, store
+
+    def encode(self, start: int, changes: dict[int, list], types: dict[int, tuple[str, int]]) -> bytes:
+        return self.codec.encode(start, changes, types)
+
+    def finalize(self) -> None:
+        """After the last block; sessions are finalized in the reverse order of their beginning."""
+
+    def close(self) -> None:
+        """At the end of the file."""
+
+
 @dataclass(frozen=True)
 class Codec:
-    """encode(start, changes, types) -> payload; decode(payload) -> (var, kind, width, times, values) of each signal. Either may be missing."""
+    """encode(start, changes, types) -> payload; decode(payload) -> (var, kind, width, times, values) of each signal. Either may be missing. A codec that keeps something over a file's blocks gives its own `session`, a class or function of (codec, store)."""
 
     name: str
     version: int = 1
     capabilities: Capability = Capability.LOSSLESS
     encode: Callable | None = None
     decode: Callable | None = None
+    session: Callable = Session
+
+    def writes(self) -> bool:
+        return self.encode is not None or self.session is not Session
 
 
 REGISTRY: dict[str, Codec] = {}

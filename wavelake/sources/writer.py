@@ -80,6 +80,7 @@ class TraceWriter:
         self.scope_count = 0
         self.ordinals: dict[tuple[int, int], int] = {}
         self.inputs: dict[int, list[int]] = {}
+        self.sessions: dict[str, codecs.Session] = {}
         self.at, self.closed = 0, False
         payload = MAGIC + bytes(VERSION) + struct.pack("<bqI", timescale_exp, timezero, 0) + uvarint(0) * 2 + struct.pack("<Q", 0) + bytes(16)
         self._write(block("HEADER", 0, payload))
@@ -135,14 +136,16 @@ class TraceWriter:
     def vc_block(self, start: int, codec: str | None = None):
         """Value changes from `start` on; an unknown codec is a ValueError."""
         own = codec and codecs.found(codec)
-        if codec and not (own and own.encode):
+        if codec and not (own and own.writes()):
             raise ValueError(f"no codec {codec} that writes")
         b = VcBlock(start)
         yield b
         if own:
             changes = {v: ([(start, b.initial[v])] if v in b.initial else []) + sorted(b.changes.get(v, []), key=lambda x: x[0]) for v in {*b.changes, *b.initial}}
             name = self.prefix + codec if codec.startswith("core.") else codec
-            payload = uvarint(self.intern(name)) + own.encode(start, changes, self.signal_types())
+            if own.name not in self.sessions:
+                self.sessions[own.name] = own.session(own, self)
+            payload = uvarint(self.intern(name)) + self.sessions[own.name].encode(start, changes, self.signal_types())
             end = max([start, *(t for c in changes.values() for t, _ in c)])
             self.index.vc.append((start, end, self._write(block("VC", waves.STRUCTURED, payload))))
             return
@@ -221,6 +224,10 @@ class TraceWriter:
         if self.closed:
             return
         self.closed = True
+        for session in reversed(self.sessions.values()):
+            session.finalize()
+        for session in self.sessions.values():
+            session.close()
         if self.metadata:
             data, flags = waves.pack(attributes(self.metadata, self.strings), self.compressor)
             self.index.meta = self._write(block("META", flags, data))
