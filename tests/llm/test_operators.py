@@ -111,9 +111,10 @@ def brute_components(sets, percent):
     return {k: find(k) for k in up}
 
 
-@pytest.mark.parametrize("slot", [256, 7])
-def test_ngram_join(spark, monkeypatch, slot):
+@pytest.mark.parametrize(("slot", "salt_rows"), [(256, 10**6), (7, 60)])
+def test_ngram_join(spark, monkeypatch, slot, salt_rows):
     monkeypatch.setattr(ngram_join, "SLOT", slot)
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", salt_rows)  # 60: ranges over five salts
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 400, 120).tolist() for _ in range(6)]
     docs = []

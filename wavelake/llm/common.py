@@ -6,6 +6,7 @@ import math
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,14 +63,44 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables stored in scratches that are open, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a written table: it survives lost executors and is read as often as needed."""
     path = new_path(df.sparkSession, label)
     schema = df.schema
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within are removed at its end, but those that the function it gives was called on; these belong to the scratch around it, if there is one."""
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(p for p in own if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in df.inputFiles()))
+        return df
+
+    _SCRATCH.append(own)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for p in own:
+            if p in kept:
+                if _SCRATCH:
+                    _SCRATCH[-1].append(p)
+                continue
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds, equals 0; a null id counts as held out, so it never trains."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
@@ -98,21 +129,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     aggregate and an equi-join (which adaptive execution splits where one hub is hot), and is stored, so
     that a lost executor costs one pass and nothing is gathered on the driver but one checksum.
     """
-    e = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    mark = _checksum(e)
-    while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both["u"] == low["k"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        # every u keeps its smallest neighbour, and its other neighbours are hung below that one
-        kept = low.select(F.col("k").alias("u"), F.col("m").alias("v"))
-        moved = large.join(low, large["u"] == low["k"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = store(kept.unionByName(moved).distinct(), "cc")
-        now = _checksum(e)
-        if now == mark:
-            break
-        mark = now
+    with scratch(edges.sparkSession) as keep:
+        e = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+        mark = _checksum(e)
+        while mark[0]:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+            large = both.join(low, both["u"] == low["k"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+            # every u keeps its smallest neighbour, and its other neighbours are hung below that one
+            kept = low.select(F.col("k").alias("u"), F.col("m").alias("v"))
+            moved = large.join(low, large["u"] == low["k"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = store(kept.unionByName(moved).distinct(), "cc")
+            now = _checksum(e)
+            if now == mark:
+                break
+            mark = now
+        keep(e)
     roots = e.select(F.col("v").alias("id")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 

@@ -7,7 +7,9 @@ equal have one class; a class stands for all its copies from the first step on.
 1. Every class's postings go, packed by hash range, to tasks that sort them and count the classes of each shingle. A
    shingle of one class only can't be shared; the others return to their classes. A class of n shingles with fewer
    than T(n) = ceil(percent * n / 100) shared ones has no partner and is done. This is one pass of packed arrays,
-   in which no group is larger than its hash range.
+   in which no group is larger than its hash range; from some millions of rows on, ranges are also dealt over salts of
+   the classes, whose counts of each shingle are summed and told to those salts that have it, so that a shingle which
+   a third of all rows have is in no task as a whole.
 2. The classes left order their shared shingles from rare to common. As in DivideSkip, the T - 1 most common lists are
    long: they are never merged, only probed. Any partner occurs in one of the other, short lists, whose postings are
    merged into lists by a shuffle on the shingle.
@@ -38,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wavelake.llm.common import connected_components, cross_pairs, small_batches, store, trimmed
+from wavelake.llm.common import connected_components, cross_pairs, scratch, small_batches, store, trimmed
 
 WORDS, PERCENT = 4, 85
 #: Characters of text to a range of shingle hashes, about.
 RANGE_CHARS = 8_000_000
+#: Rows from which on a range of hashes is dealt over salts of classes, one for each so many, as one shingle may be in a third of them.
+SALT_ROWS = 16_000_000
 #: Candidates of one query class that are verified together.
 CANDIDATES = 512
 #: Members of a list that stand together: longer lists are dealt over slots, so that no task gets one whole.
@@ -138,6 +142,9 @@ def _packed(bits: int, keys: np.ndarray, parts: dict[str, np.ndarray], cls: np.n
     return pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), *[pa.array(v, pa.binary()) for k, v in out.items() if k != "key"]], names=list(out))
 
 
+NOTHING = pa.py_buffer(b"")
+
+
 def _groups(batches):
     """(key, columns) for rows that come sorted by their first column: a key's rows, from whatever batches."""
     key, held = None, []
@@ -148,7 +155,7 @@ def _groups(batches):
                 yield key, held
                 held = []
             key = k
-            held.append([c[i].as_buffer() for c in b.columns[1:]])
+            held.append([c[i].as_buffer() or NOTHING for c in b.columns[1:]])
     if held:
         yield key, held
 
@@ -157,7 +164,7 @@ def _joined(held, at: int, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[at], kind) for r in held])
 
 
-def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int = 0) -> DataFrame:
+def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int = 0, salts: int = 1) -> DataFrame:
     """(cls, n, k, hs): classes that may have a partner, their shared shingles from rare to common, and how many of these lists are short."""
     texts = _texts(docs)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -172,8 +179,61 @@ def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: in
                     own.setdefault(class_of(h, salt), h)
             sizes = np.array([len(h) for h in own.values()], np.int64)
             if len(own):
-                h = np.concatenate(list(own.values()))
-                yield _packed(bits, h >> np.uint64(64 - bits), {"h": h}, np.repeat(np.array(list(own), np.int64), sizes), np.repeat(sizes, sizes))
+                h, cls = np.concatenate(list(own.values())), np.repeat(np.array(list(own), np.int64), sizes)
+                keys = (h >> np.uint64(64 - bits)) * np.uint64(salts) + cls.view(np.uint64) % np.uint64(salts)
+                yield _packed(bits, keys, {"h": h}, cls, np.repeat(sizes, sizes))
+
+    def met(held):
+        """(h, cls, size) of a group's postings, each class of a shingle once, by shingle and class."""
+        times = _joined(held, 2, np.uint32)
+        cls, size = np.repeat(_joined(held, 0, np.int64), times), np.repeat(_joined(held, 1, np.uint32), times)
+        h = _joined(held, 3, np.uint64)
+        order = np.lexsort((cls, h))
+        h, cls, size = h[order], cls[order], size[order]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])] if len(h) else np.zeros(0, bool)
+        return h[fresh], cls[fresh], size[fresh]
+
+    def rarity(df: np.ndarray) -> np.ndarray:
+        return np.minimum(255, (8 * np.log2(np.maximum(df, 1))).astype(np.int64)).astype(np.uint8)
+
+    def partial(batches):
+        """Each salted group's shingles with how many classes they have there."""
+        for key, held in _groups(batches):
+            h, _, _ = met(held)
+            heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([key // salts], pa.int64()), *[pa.array([x], pa.binary()) for x in (int(key).to_bytes(8, "little"), h[heads].tobytes(), np.diff(np.r_[heads, len(h)]).astype(np.uint32).tobytes())]], names=["range", "key", "h", "count"])
+
+    def summed(batches):
+        """For each salted group of a range, its shingles that several classes of the range have, with their rarity."""
+        for _, held in _groups(batches):
+            keys = np.concatenate([np.full(len(r[1]) // 8, int.from_bytes(r[0].to_pybytes(), "little"), np.int64) for r in held])
+            h, n = _joined(held, 1, np.uint64), _joined(held, 2, np.uint32).astype(np.int64)
+            names, at = np.unique(h, return_inverse=True)
+            total = np.bincount(at, n, len(names)).astype(np.int64)[at]
+            keep = total > 1
+            h, keys, rare = h[keep], keys[keep], rarity(total[keep])
+            for key in np.unique(keys).tolist():
+                own = keys == key
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (h[own], rare[own])]], names=["key", "h", "rare"])
+
+    def told(batches):
+        """Postings of salted groups whose shingles are shared, to their classes; what is shared comes first in each group."""
+        for _, held in _groups(batches):
+            common = [r for r in held if r[0].to_pybytes() == b"\0"]
+            posts = [r[1:5] for r in held if r[0].to_pybytes() == b"\1"]
+            names, rares = (_joined(common, 4, np.uint64), _joined(common, 5, np.uint8)) if common else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+            if not posts or not len(names):
+                continue
+            h, cls, size = met(posts)
+            order = np.argsort(names, kind="stable")
+            names, rares = names[order], rares[order]
+            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            keep = names[at] == h
+            h, cls, size, rare = h[keep], cls[keep], size[keep], rares[at[keep]]
+            order = np.argsort(cls, kind="stable")
+            if len(h):
+                h, cls, size, rare = h[order], cls[order], size[order], rare[order]
+                yield _packed(bits, cls.view(np.uint64) >> np.uint64(64 - bits), {"h": h, "rare": rare}, cls, size)
 
     def count(batches):
         for _, held in _groups(batches):
@@ -192,7 +252,7 @@ def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: in
             heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
             times = np.diff(np.r_[heads, len(h)])
             df = np.repeat(times, times)
-            rare = np.minimum(255, (8 * np.log2(np.maximum(df, 1))).astype(np.int64)).astype(np.uint8)
+            rare = rarity(df)
             keep = df > 1
             h, cls, size, rare = h[keep], cls[keep], size[keep], rare[keep]
             order = np.argsort(cls, kind="stable")
@@ -218,7 +278,17 @@ def shared(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: in
 
     packed = "key long, cls binary, size binary, count binary, h binary"
     posted = texts.mapInArrow(trimmed(post), packed).repartition("key").sortWithinPartitions("key")
-    counted = posted.mapInArrow(trimmed(count), packed + ", rare binary").repartition("key").sortWithinPartitions("key")
+    if salts == 1:
+        counted = posted.mapInArrow(trimmed(count), packed + ", rare binary")
+    else:
+        posted = store(posted, "postings")
+        dealt = lambda df, *by: df.repartition(by[0]).sortWithinPartitions(*by)
+        counts = dealt(posted, "key").mapInArrow(trimmed(partial), "range long, key binary, h binary, count binary")
+        common = dealt(counts, "range").mapInArrow(trimmed(summed), "key long, h binary, rare binary")
+        none = F.lit(None).cast("binary")
+        both = common.select("key", F.lit(b"\0").alias("kind"), none.alias("cls"), none.alias("size"), none.alias("count"), "h", "rare").unionByName(posted.select("key", F.lit(b"\1").alias("kind"), "cls", "size", "count", "h", none.alias("rare")))
+        counted = dealt(both, "key", "kind").mapInArrow(trimmed(told), packed + ", rare binary")
+    counted = counted.repartition("key").sortWithinPartitions("key")
     return counted.mapInArrow(trimmed(gather), "cls long, n long, k long, hs array<long>")
 
 
@@ -271,7 +341,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return met.select("x", "y", "nx", "kx", "hx", "ny", "hy").mapInArrow(trimmed(run), "a long, b long")
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int = 0) -> DataFrame:
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int = 0, salts: int = 1) -> DataFrame:
     """(a, b): links between classes, enough to connect all that are linked.
 
     A posting has `rem`, the shared shingles from its place on. Orders are the same in all classes, so at the first
@@ -279,7 +349,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int
     not linked, or meet in an earlier list. A list's pivot is the class with the fewest shingles of its own, as the
     origin of a group of near copies has none, and the copies are closer to it than to each other.
     """
-    sets = store(shared(docs, words, percent, salt), "sets")
+    sets = store(shared(docs, words, percent, salt, salts), "sets")
     each = sets.select(F.col("cls").alias("id"), "n", F.size("hs").alias("m"), F.posexplode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("pos", "h"))
     each = each.select("h", "id", "n", (F.col("m") - F.col("pos")).alias("rem"), (F.col("n") - F.col("m")).alias("own"))
     long = each.groupBy("h").count().where(F.col("count") > SLOT).select("h", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
@@ -309,10 +379,16 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, salt: int
     return found.unionByName(store(verified(rest, sets, percent), "links"))
 
 
+def linked(docs: DataFrame, d: DataFrame, words: int, percent: int, salt: int) -> DataFrame:
+    """(id, component) of the classes that link, stored; what was stored on the way is removed."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(store(connected_components(links(docs, words, percent, salt, min(4096, -(-d.count() // SALT_ROWS) or 1))), "components"))
+
+
 def members(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, n, cls, component) of every row: rows of one component are linked directly or over others. Without a set both are null."""
     d, salt = named_classes(docs, words, keys)
-    comps = store(connected_components(links(docs, words, percent, salt)), "components")
+    comps = linked(docs, d, words, percent, salt)
     found = comps.select(F.col("id").alias("_c"), F.col("component").alias("_m"))
     return d.join(found, d["cls"] == found["_c"], "left").select(*keys, "n", "cls", F.coalesce("_m", "cls").alias("component"))
 
@@ -321,7 +397,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     """(doc_id, n_shingles, component_id) of every document."""
     d, salt = named_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, ("doc_id",))
     firsts = d.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    comps = store(connected_components(links(docs, words, percent, salt)), "components")
+    comps = linked(docs, d, words, percent, salt)
     joined = firsts.join(comps, firsts["cls"] == comps["id"], "left").where("copies > 1 or component is not null")
     named = store(joined.select("cls", "first", F.coalesce("component", "cls").alias("component")), "named")
     roots = named.groupBy("component").agg(F.min("first").alias("root"))

@@ -13,7 +13,7 @@ windows were measured too (README): their margins drown in those of their other
 A document's score is a logistic function of its largest margin and of how many windows reach each of several
 margins, fitted on the same labelled documents.
 
-The fit uses a bounded sample of labelled rows (`limit` for each class, lowest hashes first). Where the bound changes
+The fit uses a bounded sample of labelled rows (`limit` for each class, lowest hashes first, and SAMPLE_BYTES of texts). Where the bound changes
 the share of toxic rows, the intercept is shifted by the log odds over all training labels less those of the sample,
 so a score is a probability at the share of toxic rows among the labels, whatever the table's size; a threshold on
 it means the same at each size. Every document is scored over its whole text, on its executor, with a bounded memo of windows and without a shuffle.
@@ -39,6 +39,8 @@ from wavelake.llm.trees import sigmoid
 
 #: Labelled documents of each class that the fit sees at most.
 LIMIT = 3_000
+#: Bytes of their texts that the driver takes at most; texts that don't fit any more are left out of the fit.
+SAMPLE_BYTES = 64 << 20
 #: Bytes of the two dictionaries at most, and odds from which the passages around a word are toxic text.
 ORDINARY_BYTES, TOXIC_BYTES, ODDS = 65_536, 2_048, 20
 #: Passages of the bounded sample that the ordinary dictionary is trained on at most, lowest hashes first; words to a passage.
@@ -99,19 +101,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list, float]:
-    """(text, label) of at most `limit` training rows of each class, and the shift of training_ids(). Ids come to the driver first, as many as the limit; the texts follow by a join with those."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, most_bytes: int) -> tuple[list, float]:
+    """(text, label) of at most `limit` training rows of each class and at most `most_bytes` of texts, and the shift of training_ids().
+
+    Ids come to the driver first, as many as the limit, then the lengths of their texts, and last the whole texts of
+    those that fit, by the hashes of their ids.
+    """
     spark = docs.sparkSession
     ids, shift = training_ids(labels, label, limit)
     if not ids:
         return [], 0.0
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = spark.createDataFrame(ids, "doc_id long, y int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").orderBy("doc_id").select("text", "y").collect(), shift
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sizes = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.sum(size).alias("n")).collect()
+    fits, total = [], 0
+    known, order = {r[0]: r[1] for r in sizes}, lambda x: (zlib.crc32(str(x[0]).encode()), x)
+    for one in sorted(ids, key=order):
+        if one[0] in known and total + known[one[0]] <= most_bytes:
+            total += known[one[0]]
+            fits.append(one)
+    if not fits:
+        return [], 0.0
+    return texts.join(F.broadcast(spark.createDataFrame(fits, "doc_id long, y int")), "doc_id").orderBy("doc_id").select("text", "y").collect(), shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT, ordinary_bytes: int = ORDINARY_BYTES) -> dict | None:
     """toxic and ordinary dictionary contents and the weights; None without both classes."""
-    rows, shift = sample(docs, labels, "toxic", limit)
+    rows, shift = sample(docs, labels, "toxic", limit, SAMPLE_BYTES)
     return learn(rows, ordinary_bytes, shift)
 
 
