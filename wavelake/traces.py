@@ -330,7 +330,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     ),
     "trace_node_attrs": (_table_of("node_attrs", ["key", "type", "value"]), "select 'key' \"key\", 'u64' \"type\", cast(n_nationkey as varchar) \"value\" from nation"),
     "trace_signal_types": (_table_of("signal_types", ["sig_type_id", "encoding", "bit_width", "radix"]), "select * from (values (1::bigint, '2STATE', 1::integer, 'HEX'), (2::bigint, 'REAL', 64::integer, 'HEX')) t(sig_type_id, encoding, bit_width, radix)"),
-    "trace_strings": (_table_of("strings", ["s"]), None),
+    "trace_strings": (lambda spark, sf_dir: _table_of("strings", ["s"])(spark, sf_dir).where("s rlike '^NATION_[0-9]+$'"), "select distinct n_name s from nation"),
     "trace_txn_fields": (_table_of("txn_fields", ["type_name", "field_idx", "field_name", "field_type"]), "select * from (values ('nation', 0::integer, 'key', 'U32'), ('nation', 1::integer, 'region', 'ENUM')) t(type_name, field_idx, field_name, field_type)"),
     "trace_stream_kinds": (lambda spark, sf_dir: _table_of("stream_types", ["name", "kind"])(spark, sf_dir).where("kind = 'even'"), "select r_name \"name\", 'even' kind from region where r_regionkey % 2 = 0"),
     "trace_metadata": (trace_metadata, "select concat('r', n_regionkey) \"key\", concat('\"', arg_max(n_name, n_nationkey), '\"') \"value\" from nation group by n_regionkey union all select 'count', cast(max(n_nationkey) as varchar) from nation"),
