@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wavelake.llm import ann, bpe, embed_dedup, ngram_join, packing, pii, quality, queries, records, toxicity, warc
+from wavelake.llm import ann, bpe, ngram_join, packing, pii, quality, queries, records, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -131,37 +131,6 @@ def test_ngram_join(spark, monkeypatch, slot, salt_rows):
         assert got == want and len(set(got.values())) < len(got)
 
 
-def test_embedding_dedup(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 16))
-    x[100:160] = x[0] + 0.05 * rng.normal(size=(60, 16))
-    x[160:200] = x[1:41] + 0.25 * rng.normal(size=(40, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16)]
-    got = {r.vec_id: r for r in embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= 0.9
-    true, found = near.sum() - 300, sum(got[i].n_links for i in range(300))
-    assert found <= true and found >= 0.97 * true
-    assert all(got[i].n_links == 0 and got[i].kept for i in (400, 401, 402))
-
-
-def test_ann(spark):
-    v = spark.read.parquet(f"{SF}/embeddings.parquet")
-    rows = {r.vec_id: np.array(r.embedding, float) for r in v.collect()}
-    ids, x = np.array(list(rows)), np.stack(list(rows.values()))
-    got = ann.search(v).collect()
-    hits = total = 0
-    for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((x - rows[q]) ** 2).sum(1))
-        d[ids == q] = np.inf
-        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
-        own = [r for r in got if r.query_id == q]
-        assert [r["rank"] for r in sorted(own, key=lambda r: r["rank"])] == list(range(1, len(own) + 1))
-        hits, total = hits + len(best & {r.vec_id for r in own}), total + 10
-    assert hits >= 0.9 * total
-    assert ann.search(v.limit(0)).count() == 0
-
-
 def test_traverse_is_ordered():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
