@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from wavelake.session import local_session
 
-    session = local_session("tests", cores=4, shuffle_partitions=4, memory="4g")
+    session = local_session("tests", cores=8, shuffle_partitions=4, memory="4g")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
