@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +143,7 @@ def trained(passages: list[bytes], size: int) -> bytes:
         return b"".join(p + b" " for p in dict.fromkeys(passages) if len(p) < size)[-size:]
 
 
-def passages(texts: list[list[str]], around: set[str] | None = None) -> list[bytes]:
+def passages(texts: Iterable[list[str]], around: set[str] | None = None) -> list[bytes]:
     """Runs of SPAN words of texts: those that make up a text, or, given words, those in whose middle one of them stands."""
     half, out = SPAN // 2, []
     for own in texts:
@@ -156,9 +157,8 @@ def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0,
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    texts = [words(t) for t, _ in rows]
-    # texts in the order of their families, so that the last family that used a word tells whether it counts again
-    marked = sorted(((family(set(own)), i) for i, own in enumerate(texts)))
+    # words are cut anew in each pass, as those of all texts together would fill the driver; texts in the order of their families, so that the last family that used a word tells whether it counts again
+    marked = sorted((family(set(words(t))), i) for i, (t, _) in enumerate(rows))
     counts: tuple[dict, dict] = ({}, {})
     n = [0, 0]
     wanted: set[str] = set()
@@ -169,7 +169,7 @@ def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0,
                 continue
             n[k] += one != before
             before = one
-            for w in set(texts[i]):
+            for w in set(words(rows[i][0])):
                 if last.get(w) != one and (k or w in wanted):
                     last[w] = one
                     counts[k][w] = counts[k].get(w, 0) + 1
@@ -178,17 +178,17 @@ def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0,
     n0, n1 = n
     telling = {w for w in wanted if (counts[1][w] + 0.5) / (n1 + 1) >= ODDS * (counts[0].get(w, 0) + 0.5) / (n0 + 1)}
     del counts, last
-    plain = passages([t for t, r in zip(texts, rows, strict=True) if not r[1]])
+    plain = passages(words(t) for t, k in rows if not k)
     if len(plain) > PASSAGES:
         plain = sorted(plain, key=zlib.crc32)[:PASSAGES]
     ordinary = trained(plain, ordinary_bytes)
-    toxic = trained(passages([t for t, r in zip(texts, rows, strict=True) if r[1]], telling or None), toxic_bytes)
+    toxic = trained(passages((words(t) for t, k in rows if k), telling or None), toxic_bytes)
     del plain
     model = {"toxic": ordinary + toxic, "ordinary": ordinary}
     of, memo = margins(model["toxic"], model["ordinary"]), {}
     x = []
-    for all_words in texts:
-        own = list(dict.fromkeys(all_words))
+    for t, _ in rows:
+        own = list(dict.fromkeys(words(t)))
         new = [w for w in own if w not in memo]
         found = dict(zip(new, of(new), strict=True))
         x.append(features(np.array([found[w] if w in found else memo[w] for w in own])))
