@@ -157,7 +157,8 @@ def learn(rows: list, ordinary_bytes: int = ORDINARY_BYTES, shift: float = 0.0,
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    # words are cut anew in each pass, as those of all texts together would fill the driver; texts in the order of their families, so that the last family that used a word tells whether it counts again
+    # words are cut anew in each pass, as those of all texts together would fill the driver; texts go in the order of
+    # their families, so that the last family that used a word tells whether it counts again
     marked = sorted((family(set(words(t))), i) for i, (t, _) in enumerate(rows))
     counts: tuple[dict, dict] = ({}, {})
     n = [0, 0]
